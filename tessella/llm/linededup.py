@@ -26,46 +26,87 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WORD, Bloom, map_rows, signed, small_batches, written
 
 MIN_WORDS = 8
-_TOKEN = re.compile(r"(\w+)|([.!?]+(?=\s|\Z)|\n)")
+#: Ends of sentences and lines.
+_STOP = re.compile(r"[.!?]+(?=\s|\Z)|\n")
+#: White space between a word and one that may be capitalised.
+_CAPITAL = re.compile(r"(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
+_FIRST = re.compile(r"\w")
+
+
+def _pasted_start(text: str, start: int, end: int) -> int:
+    """The last capitalised word in [start, end) that follows an uncapitalised one; -1 if there is none."""
+    found = -1
+    for m in _CAPITAL.finditer(text, start, end):
+        if text[m.end()].isupper():
+            k = m.start()
+            while k > start and (text[k - 1].isalnum() or text[k - 1] == "_"):
+                k -= 1
+            if not text[k].isupper():
+                found = m.end()
+    return found
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, normalised words) of all units of a text, in order of start."""
     if not text:
         return []
-    words: list[str] = []
-    begin: list[int] = []
-    finish: list[int] = []
-    stops: list[int] = []  # number of words before each sentence or line end
-    lowered = text.lower()
-    same = len(lowered) == len(text)
-    for m in _TOKEN.finditer(text):
-        if m.lastindex == 1:
-            words.append(lowered[m.start() : m.end()] if same else m[1].lower())
-            begin.append(m.start())
-            finish.append(m.end())
-        elif words and (not stops or stops[-1] != len(words)):
-            stops.append(len(words))
-    if words and (not stops or stops[-1] != len(words)):
-        stops.append(len(words))
+    parts: list[tuple[int, int, list[str]]] = []  # sentences with words: start, end, words
+    at = 0
+    for stop in [*(m.span() for m in _STOP.finditer(text)), (len(text), len(text))]:
+        words = WORD.findall(text[at : stop[0]].lower())
+        if words:
+            first, last = _FIRST.search(text, at).start(), stop[0]
+            while not (text[last - 1].isalnum() or text[last - 1] == "_"):
+                last -= 1
+            parts.append((first, last, words))
+        at = stop[1]
+    out = []
+    for k, (first, last, words) in enumerate(parts):
+        pasted = _pasted_start(text, first, last)
+        starts = [(first, words)]
+        if pasted > first:
+            starts.append((pasted, WORD.findall(text[pasted:last].lower())))
+        for begin, have in starts:
+            end, more = last, k + 1
+            while len(have) < min_words and more < len(parts):
+                have = have + parts[more][2]
+                end = parts[more][1]
+                more += 1
+            if len(have) >= min_words:
+                out.append((begin, end, " ".join(have)))
+    return out
+
+
+_PIECE = re.compile(r"\w+|[.!?]+(?=\s|\Z)|\n")
+_ENDS = frozenset(".!?\n")
+
+
+def unit_words(text: str | None, min_words: int = MIN_WORDS) -> list[str]:
+    """The normalised words of all units, in the order of ``units``, without offsets.
+
+    Most texts have no capitalised word inside a sentence; they take a shorter way.
+    """
+    if not text:
+        return []
+    if _CAPITAL.search(text):
+        return [u[2] for u in units(text, min_words)]
+    pieces = _PIECE.findall(text)
+    stops = [k for k, p in enumerate(pieces) if p[0] in _ENDS]
+    parts, at = [], 0
+    for k in stops:
+        if k > at:
+            parts.append(pieces[at:k])
+        at = k + 1
+    if at < len(pieces):
+        parts.append(pieces[at:])
     out = []
-    first = 0  # word at which the sentence starts
-    for k, stop in enumerate(stops):
-        starts = [first]
-        for i in range(stop - 1, first, -1):  # the last capitalised word inside the sentence
-            c = text[begin[i]]
-            if c.isupper() and not text[begin[i - 1]].isupper() and text[finish[i - 1] : begin[i]].isspace():
-                starts.append(i)
-                break
-        for s in starts:
-            e = stop
-            for later in stops[k:]:
-                e = later
-                if e - s >= min_words:
-                    break
-            if e - s >= min_words:
-                out.append((begin[s], finish[e - 1], " ".join(words[s:e])))
-        first = stop
+    for k, have in enumerate(parts):
+        more = k + 1
+        while len(have) < min_words and more < len(parts):
+            have = have + parts[more]
+            more += 1
+        if len(have) >= min_words:
+            out.append(" ".join(have).lower())
     return out
 
 
@@ -108,7 +149,7 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out: dict[str, list] = {"hi": [], "lo": [], "doc": []}
             his, los = [], []
             for doc, text in zip(cols["doc_id"], cols["text"]):
-                found = {_digest(u[2]) for u in units(text, min_words)}
+                found = {_digest(u) for u in unit_words(text, min_words)}
                 his += [d[0] for d in found]
                 los += [d[1] for d in found]
                 out["doc"] += [late if doc is None else doc] * len(found)
@@ -132,6 +173,12 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         def step(cols):
             out: dict[str, list] = {"hi": [], "lo": [], "doc": [], "start": [], "end": [], "again": []}
             for doc, text in zip(cols["doc_id"], cols["text"]):
+                all_units = [_digest(u) for u in unit_words(text, min_words)]
+                if not all_units:
+                    continue
+                hit = bloom.value.test(np.array([d[0] for d in all_units], np.uint64)).any()
+                if not hit and len(set(all_units)) == len(all_units):
+                    continue  # nothing shared: no offsets are needed
                 first, again = _first_and_repeats(text, min_words)
                 ds = list(first)
                 if ds:
@@ -155,7 +202,8 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         return step
 
-    found = map_rows(rows, occur, "hi long, lo long, doc long, start int, end int, again boolean")
+    # read twice below
+    found = written(map_rows(rows, occur, "hi long, lo long, doc long, start int, end int, again boolean"), "occurrences")
     spans = found.where(~F.col("again")).join(shared, ["hi", "lo"]).where("doc > kept").select("doc", "start", "end", "kept")
     local = found.where("again").select("doc", "start", "end", F.col("doc").alias("kept"))
     ids = [F.when(F.col(c) != late, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("kept", "kept_doc_id"))]
