@@ -155,6 +155,8 @@ class Best:
         d2 = np.concatenate([d2, self.d2[touched][old_j != NONE]])
         order = np.lexsort((keys(row + self.first, j, self.self_join), d2, row))
         row, j, d2 = row[order], j[order], d2[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (j[1:] != j[:-1])])  # a pair may be offered twice
+        row, j, d2 = row[new], j[new], d2[new]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
         keep = place < self.k

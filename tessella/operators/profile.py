@@ -46,25 +46,34 @@ def block_rows(series: DataFrame, m: int, block: int, constant: DataFrame | None
     return rows
 
 
-def _grid(a: DataFrame, b: DataFrame | None) -> DataFrame:
-    """(series_id, qb, tb): pairs of block numbers; for a self-join those with qb <= tb."""
+def _grid(a: DataFrame, b: DataFrame | None, first: DataFrame | None = None) -> DataFrame:
+    """(series_id, qb, tb): pairs of block numbers; for a self-join those with qb <= tb.
+
+    ``first`` (series_id, first_block) leaves only pairs with tb >= first_block.
+    """
     na = a.groupBy("series_id").agg(F.max("b").alias("na"))
     one = F.lit(0).cast("long")
     if b is None:
-        g = na.select("series_id", "na", F.explode(F.sequence(one, F.col("na"))).alias("qb"))
-        return g.select("series_id", "qb", F.explode(F.sequence(F.col("qb"), F.col("na"))).alias("tb"))
+        if first is None:
+            na = na.withColumn("lo", one)
+        else:
+            na = na.join(first, "series_id", "left").withColumn("lo", F.coalesce("first_block", one)).where("lo <= na")
+        g = na.select("series_id", "na", "lo", F.explode(F.sequence(one, F.col("na"))).alias("qb"))
+        return g.select("series_id", "qb", F.explode(F.sequence(F.greatest("qb", "lo"), F.col("na"))).alias("tb"))
     nb = b.groupBy("series_id").agg(F.max("b").alias("nb"))
     g = na.join(nb, "series_id").select("series_id", "nb", F.explode(F.sequence(one, F.col("na"))).alias("qb"))
     return g.select("series_id", "qb", F.explode(F.sequence(one, F.col("nb"))).alias("tb"))
 
 
-def _partials(a: DataFrame, b: DataFrame | None, m: int, block: int, k: int, excl: int, normalize: bool) -> DataFrame:
+def _partials(
+    a: DataFrame, b: DataFrame | None, m: int, block: int, k: int, excl: int, normalize: bool, first: DataFrame | None = None
+) -> DataFrame:
     """Best lists of each block from each task."""
     self_join = b is None
     other = a if self_join else b
     spark = a.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = _grid(a, b)
+    cells = _grid(a, b, first)
     cells = cells.join(other.select("series_id", F.col("b").alias("tb"), F.col("samples").alias("ts"), F.col("flags").alias("tf")), ["series_id", "tb"])
     cells = cells.join(a.select("series_id", F.col("b").alias("qb"), F.col("samples").alias("qs"), F.col("flags").alias("qf")), ["series_id", "qb"])
     # strips of cells with one query block: lists of that block are merged within a task
