@@ -1,12 +1,13 @@
 """Substring deduplication by hashing normalised units.
 
-A unit starts at every line start, after every sentence end, and at a
-capitalised word that follows an unmarked word (a passage pasted into running
-text); it ends at the first sentence or line end that gives it at least
-``MIN_WORDS`` words.  Units are normalised (lower case, words only) and hashed
-to 128 bits.  Over the whole table each digest keeps its earliest occurrence,
-by document id and then offset; all others are removed, as spans of the
-original text.
+A unit starts at every line start, after every mark (full stop, comma and the
+like, with white space, between two words), and at a capitalised word that
+follows an unmarked word (a passage pasted into running text); it ends at the
+first mark or line end that gives it at least ``MIN_WORDS`` words.  So units
+overlap, and a repeated passage is found wherever it stands.
+Units are normalised (lower case, words only) and hashed to 128 bits.  Over
+the whole table each digest keeps its earliest occurrence, by document id and
+then offset; all others are removed, as spans of the original text.
 
 Digests are counted with partial sums, so a line that a third of all documents
 share costs one row a task; the earliest document of each shared digest is
@@ -16,115 +17,146 @@ pass only digests that occur in two documents or more.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, Bloom, map_rows, signed, small_batches, written
+from tessella.llm.common import Bloom, map_rows, mix, signed, small_batches, written
 
 MIN_WORDS = 8
-#: Ends of sentences and lines.
-_STOP = re.compile(r"[.!?]+(?=\s|\Z)|\n")
-#: White space between a word and one that may be capitalised.
-_CAPITAL = re.compile(r"(?<=\w)\s+(?=[^\W\d_a-zß-öø-ÿ])")
-_FIRST = re.compile(r"\w")
-
-
-def _pasted_start(text: str, start: int, end: int) -> int:
-    """The last capitalised word in [start, end) that follows an uncapitalised one; -1 if there is none."""
-    found = -1
-    for m in _CAPITAL.finditer(text, start, end):
-        if text[m.end()].isupper():
-            k = m.start()
-            while k > start and (text[k - 1].isalnum() or text[k - 1] == "_"):
-                k -= 1
-            if not text[k].isupper():
-                found = m.end()
-    return found
-
-
-def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """(start, end, normalised words) of all units of a text, in order of start."""
-    if not text:
-        return []
-    parts: list[tuple[int, int, list[str]]] = []  # sentences with words: start, end, words
-    at = 0
-    for stop in [*(m.span() for m in _STOP.finditer(text)), (len(text), len(text))]:
-        words = WORD.findall(text[at : stop[0]].lower())
-        if words:
-            first, last = _FIRST.search(text, at).start(), stop[0]
-            while not (text[last - 1].isalnum() or text[last - 1] == "_"):
-                last -= 1
-            parts.append((first, last, words))
-        at = stop[1]
-    out = []
-    for k, (first, last, words) in enumerate(parts):
-        pasted = _pasted_start(text, first, last)
-        starts = [(first, words)]
-        if pasted > first:
-            starts.append((pasted, WORD.findall(text[pasted:last].lower())))
-        for begin, have in starts:
-            end, more = last, k + 1
-            while len(have) < min_words and more < len(parts):
-                have = have + parts[more][2]
-                end = parts[more][1]
-                more += 1
-            if len(have) >= min_words:
-                out.append((begin, end, " ".join(have)))
-    return out
-
-
-_PIECE = re.compile(r"\w+|[.!?]+(?=\s|\Z)|\n")
-_ENDS = frozenset(".!?\n")
-
-
-def unit_words(text: str | None, min_words: int = MIN_WORDS) -> list[str]:
-    """The normalised words of all units, in the order of ``units``, without offsets.
-
-    Most texts have no capitalised word inside a sentence; they take a shorter way.
+_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_SALT = np.uint64(0xA0761D6478BD642F)
+_LATE = (1 << 63) - 1
+
+
+class Units(NamedTuple):
+    """Units of several texts, by text and start: number of the text, offsets, 128-bit digest."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hi: np.ndarray
+    lo: np.ndarray
+
+
+class UnitHash:
+    """Finds and hashes the units of whole texts, many texts at once.
+
+    The digest of words a .. b-1 is a difference of prefix sums of word hashes
+    times powers of an odd base, shifted back to power 0; so all units of a
+    text cost one pass, however they overlap.
     """
-    if not text:
-        return []
-    if _CAPITAL.search(text):
-        return [u[2] for u in units(text, min_words)]
-    pieces = _PIECE.findall(text)
-    stops = [k for k, p in enumerate(pieces) if p[0] in _ENDS]
-    parts, at = [], 0
-    for k in stops:
-        if k > at:
-            parts.append(pieces[at:k])
-        at = k + 1
-    if at < len(pieces):
-        parts.append(pieces[at:])
-    out = []
-    for k, have in enumerate(parts):
-        more = k + 1
-        while len(have) < min_words and more < len(parts):
-            have = have + parts[more]
-            more += 1
-        if len(have) >= min_words:
-            out.append(" ".join(have).lower())
-    return out
-
-
-def _digest(s: str) -> tuple[int, int]:
-    d = xxhash.xxh128_intdigest(s.encode("utf-8", "surrogatepass"))
-    return d >> 64, d & 0xFFFFFFFFFFFFFFFF
-
-
-def _first_and_repeats(text: str | None, min_words: int):
-    """First occurrences {digest: (start, end)} of a document, and later ones that don't overlap them."""
-    first: dict[tuple[int, int], tuple[int, int]] = {}
-    again: list[tuple[int, int]] = []
-    for start, end, norm in units(text, min_words):
-        d = _digest(norm)
-        if d not in first:
-            first[d] = (start, end)
-        elif start >= first[d][1]:
-            again.append((start, end))
+
+    def __init__(self, min_words: int = MIN_WORDS):
+        self.min_words = min_words
+        n = 0x110000
+        self.word, self.space, self.upper = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        low = np.arange(n, dtype=np.int64)
+        for a, b in ((0, 0xD800), (0xE000, n)):
+            for c in range(a, b):
+                x = chr(c)
+                if x.isalnum():
+                    self.word[c] = True
+                    self.upper[c] = x.isupper()
+                    y = x.lower()
+                    if len(y) == 1:
+                        low[c] = ord(y)
+                elif x.isspace():
+                    self.space[c] = True
+        self.word[ord("_")] = True
+        self.mark = np.zeros(n, bool)
+        self.mark[[ord(c) for c in ".,;:?"]] = True
+        self.value = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[low]
+        self.powers: dict[int, np.ndarray] = {}
+
+    def _power(self, base: int, n: int) -> np.ndarray:
+        have = self.powers.get(base)
+        if have is None or len(have) < n:
+            have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, base, np.uint64)]))
+            self.powers[base] = have
+        return have[:n]
+
+    def many(self, texts: list[str | None], limit: int = 1 << 18) -> Iterator[Units]:
+        group: list[str] = []
+        held = first = 0
+        for k, t in enumerate(texts):
+            group.append(t or "")
+            held += len(group[-1])
+            if held >= limit or k == len(texts) - 1:
+                yield self._group(group, first)
+                group, held, first = [], 0, k + 1
+
+    def _group(self, texts: list[str], number: int) -> Units:
+        cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        word, space = self.word[cp], self.space[cp]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            return Units(*[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)])
+        # words
+        size = end - start
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = np.flatnonzero(word)
+        place = np.arange(len(at)) - np.repeat(first, size)
+        h = mix(np.add.reduceat(self.value[cp[at]] * self._power(_B1, int(size.max()) + 1)[place], first) + size.astype(np.uint64))
+        # clauses: between two words is a stop if there is a line end, or white space and a mark
+        def between(mask: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(mask)])
+            return total[start[1:]] - total[end[:-1]]
+
+        bang = cp == 33
+        alone = bang.copy()  # repeated exclamation marks are decoration
+        alone[1:] &= ~bang[:-1]
+        alone[:-1] &= ~bang[1:]
+        blanks = between(space)
+        stop = (between(cp == 10) > 0) | (blanks > 0) & (between(alone | self.mark[cp]) > 0)
+        cuts = np.append(np.flatnonzero(stop) + 1, len(start))  # numbers of words before stops; the last is all of them
+        begins = np.concatenate([[0], cuts[:-1]])
+        # capitalised words after uncapitalised ones, inside a clause: the last of each
+        apart = blanks == start[1:] - end[:-1]
+        big = self.upper[cp[start]]
+        pasted = np.flatnonzero(apart & big[1:] & ~big[:-1]) + 1
+        sentence = np.searchsorted(begins, pasted, side="right") - 1
+        inside = begins[sentence] != pasted
+        pasted, sentence = pasted[inside], sentence[inside]
+        last = np.ones(len(pasted), bool)
+        last[:-1] = sentence[1:] != sentence[:-1]
+        a = np.sort(np.concatenate([begins, pasted[last]]))
+        # ends: the first stop that leaves enough words, in the same text
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        owner = np.searchsorted(text_ends, start[a], side="right")
+        k = np.searchsorted(cuts, a + self.min_words)
+        fits = k < len(cuts)
+        a, owner, b = a[fits], owner[fits], cuts[k[fits]]
+        fits = end[b - 1] <= text_ends[owner]
+        a, owner, b = a[fits], owner[fits], b[fits]
+        base = np.concatenate([[0], text_ends])[owner]
+        out = [owner + number, start[a] - base, end[b - 1] - base]
+        n = len(h) + 1
+        for salt, power in ((np.uint64(0), _B1), (_SALT, _B2)):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((mix(h ^ salt) if salt else h) * self._power(power, n)[:-1])])
+            back = self._power(pow(power, -1, 1 << 64), n)
+            out.append(mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)))
+        return Units(*out)
+
+
+def repeats(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the first occurrences of digests in their text, and of later ones that don't overlap them."""
+    first, again = np.ones(len(u.text), bool), np.zeros(len(u.text), bool)
+    if not len(u.text):
+        return first, again
+    order = np.lexsort((u.start, u.lo, u.hi, u.text))
+    t, hi, lo = u.text[order], u.hi[order], u.lo[order]
+    same = np.concatenate([[False], (t[1:] == t[:-1]) & (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])])
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))[same]
+    later = order[same]
+    first[later] = False
+    again[later] = u.start[later] >= u.end[order[lead]]
     return first, again
 
 
@@ -142,20 +174,16 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = _rows(docs)
-    late = (1 << 63) - 1
+    def gathered(parts: list[dict[str, np.ndarray]], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+        return {n: np.concatenate([p[n] for p in parts]) if parts else [] for n in names}
 
     def count():
+        hasher = UnitHash(min_words)
+
         def step(cols):
-            out: dict[str, list] = {"hi": [], "lo": [], "doc": []}
-            his, los = [], []
-            for doc, text in zip(cols["doc_id"], cols["text"]):
-                found = {_digest(u) for u in unit_words(text, min_words)}
-                his += [d[0] for d in found]
-                los += [d[1] for d in found]
-                out["doc"] += [late if doc is None else doc] * len(found)
-            out["hi"] = signed(np.array(his, np.uint64))
-            out["lo"] = signed(np.array(los, np.uint64))
-            return out
+            ids = np.array([_LATE if d is None else d for d in cols["doc_id"]], np.int64)
+            parts = [{"hi": signed(u.hi), "lo": signed(u.lo), "doc": ids[u.text]} for u in hasher.many(cols["text"])]
+            return gathered(parts, ("hi", "lo", "doc"))
 
         return step
 
@@ -170,35 +198,17 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(shared, "hi", bits=25))
 
     def occur():
+        hasher = UnitHash(min_words)
+
         def step(cols):
-            out: dict[str, list] = {"hi": [], "lo": [], "doc": [], "start": [], "end": [], "again": []}
-            for doc, text in zip(cols["doc_id"], cols["text"]):
-                all_units = [_digest(u) for u in unit_words(text, min_words)]
-                if not all_units:
-                    continue
-                hit = bloom.value.test(np.array([d[0] for d in all_units], np.uint64)).any()
-                if not hit and len(set(all_units)) == len(all_units):
-                    continue  # nothing shared: no offsets are needed
-                first, again = _first_and_repeats(text, min_words)
-                ds = list(first)
-                if ds:
-                    his = np.array([d[0] for d in ds], np.uint64)
-                    for k in np.flatnonzero(bloom.value.test(his)):
-                        d = ds[k]
-                        out["hi"].append(d[0] - (1 << 64) if d[0] >> 63 else d[0])
-                        out["lo"].append(d[1] - (1 << 64) if d[1] >> 63 else d[1])
-                        out["doc"].append(late if doc is None else doc)
-                        out["start"].append(first[d][0])
-                        out["end"].append(first[d][1])
-                        out["again"].append(False)
-                for start, end in again:
-                    out["hi"].append(0)
-                    out["lo"].append(0)
-                    out["doc"].append(late if doc is None else doc)
-                    out["start"].append(start)
-                    out["end"].append(end)
-                    out["again"].append(True)
-            return out
+            ids = np.array([_LATE if d is None else d for d in cols["doc_id"]], np.int64)
+            parts = []
+            for u in hasher.many(cols["text"]):
+                first, again = repeats(u)
+                at = np.flatnonzero(again | (first & bloom.value.test(u.hi))) if len(u.hi) else np.empty(0, np.int64)
+                hi, lo, once = signed(u.hi[at]), signed(u.lo[at]), again[at]
+                parts.append({"hi": hi, "lo": lo, "doc": ids[u.text[at]], "start": u.start[at], "end": u.end[at], "again": once})
+            return gathered(parts, ("hi", "lo", "doc", "start", "end", "again"))
 
         return step
 
@@ -206,7 +216,7 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = written(map_rows(rows, occur, "hi long, lo long, doc long, start int, end int, again boolean"), "occurrences")
     spans = found.where(~F.col("again")).join(shared, ["hi", "lo"]).where("doc > kept").select("doc", "start", "end", "kept")
     local = found.where("again").select("doc", "start", "end", F.col("doc").alias("kept"))
-    ids = [F.when(F.col(c) != late, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("kept", "kept_doc_id"))]
+    ids = [F.when(F.col(c) != _LATE, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("kept", "kept_doc_id"))]
     return spans.unionByName(local).select(ids[0], "start", "end", ids[1])
 
 

@@ -1,3 +1,8 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tessella.llm import linededup as L
 from tests.llm.conftest import prose
 
@@ -7,12 +12,47 @@ PASSAGE = (
 )
 
 
+def lowered(text):
+    """Lower case letter by letter, so that offsets stay."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def units(text, min_words=L.MIN_WORDS):
+    """(start, end, normalised words) of all units of a text."""
+    if not text:
+        return []
+    sentences, last = [], None
+    for m in re.finditer(r"\w+", text):
+        gap = "\n" if last is None else text[last : m.start()]
+        if "\n" in gap or re.search(r"\s", gap) and re.search(r"[.,;:?]|(?<!!)!(?!!)", gap):
+            sentences.append([])
+        sentences[-1].append(m.span())
+        last = m.end()
+    out = []
+    for k, words in enumerate(sentences):
+        starts = [0]
+        for i in range(len(words) - 1, 0, -1):
+            (a, b), (c, _) = words[i - 1], words[i]
+            if text[c].isupper() and not text[a].isupper() and text[b:c].isspace():
+                starts.append(i)
+                break
+        for i in starts:
+            have = words[i:]
+            for more in sentences[k + 1 :]:
+                if len(have) >= min_words:
+                    break
+                have = have + more
+            if len(have) >= min_words:
+                out.append((have[0][0], have[-1][1], " ".join(lowered(text[a:b]) for a, b in have)))
+    return sorted(out)
+
+
 def brute(docs, min_words):
     """Removed occurrences from all units at once: {doc: {(start, end)}}."""
     first, out = {}, {}
     for key in sorted(docs):
         mine = {}
-        for start, end, norm in L.units(docs[key], min_words):
+        for start, end, norm in units(docs[key], min_words):
             if norm not in mine:
                 mine[norm] = end
                 if norm in first:
@@ -24,11 +64,25 @@ def brute(docs, min_words):
     return out
 
 
-def test_units_have_original_offsets():
-    text = "First, One two three four five six SEVEN eight. Short. Next line here\nwith more words than it had before."
-    for start, end, norm in L.units(text):
-        assert " ".join(L.WORD.findall(text[start:end].lower())) == norm
-        assert len(norm.split()) >= L.MIN_WORDS
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aB É.!?\n ,_ß1İ", max_size=80), min_size=1, max_size=4), st.integers(1, 4))
+def test_units_equal_the_plain_form(texts, min_words):
+    hasher = L.UnitHash.__new__(L.UnitHash)
+    hasher.__dict__.update(HASHER.__dict__, min_words=min_words)
+    seen = {}
+    got = [[] for _ in texts]
+    for u in hasher.many([*texts, None], limit=50):
+        for t, a, b, hi, lo in zip(*(x.tolist() for x in u)):
+            got[t].append((a, b, (hi, lo)))
+    for g, t in zip(got, texts):
+        want = units(t, min_words)
+        assert [x[:2] for x in g] == [x[:2] for x in want]
+        for (_, _, d), (_, _, norm) in zip(g, want):
+            assert seen.setdefault(norm, d) == d
+    assert len(set(seen.values())) == len(seen)
+
+
+HASHER = L.UnitHash()
 
 
 def test_matches_brute_force(make_docs):
@@ -61,10 +115,10 @@ def test_cut_text_and_offsets(make_docs):
 
 
 def test_repeats_within_a_document_do_not_cut_the_kept_one():
-    line = "a b c d. " * 40
-    first, again = L._first_and_repeats(line, 8)
-    kept = {p for a, b in first.values() for p in range(a, b)}
-    assert first and all(not kept & set(range(a, min(b, 30))) for a, b in again if a < 20)
+    (u,) = HASHER.many(["a b c d. " * 40])
+    first, again = L.repeats(u)
+    assert first.sum() == 1 and u.start[first][0] == 0 and again.any()
+    assert u.start[again].min() >= u.end[first][0]
 
 
 def test_odd_rows(odd_docs, empty_docs):
