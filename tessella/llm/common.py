@@ -132,6 +132,64 @@ def word_hashes(tokens: Iterable[str], memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, tokens), dtype=np.uint64)
 
 
+class TextHash:
+    """Hashes of the words (runs of word characters, lower case) of whole texts, many texts at once.
+
+    A word's hash is the sum of a random 64-bit value of each character times a
+    power of an odd base by its place, finalised with the length.
+    """
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self) -> None:
+        self.inside = np.zeros(0x110000, bool)
+        for lo, hi in ((0, 0xD800), (0xE000, 0x110000)):
+            self.inside[lo:hi] = np.fromiter((chr(c).isalnum() for c in range(lo, hi)), bool, hi - lo)
+        self.inside[ord("_")] = True
+        self.value = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        self.power = np.empty(0, np.uint64)
+
+    def _powers(self, n: int) -> np.ndarray:
+        if len(self.power) < n:
+            self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, self._BASE, np.uint64))])
+        return self.power
+
+    def one(self, text: str | None) -> np.ndarray:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None], limit: int = 1 << 18) -> list[np.ndarray]:
+        """The hashes of each text's words in order; about ``limit`` characters are held at a time."""
+        out: list[np.ndarray] = []
+        group: list[str] = []
+        held = 0
+        for t in texts:
+            low = t.lower() if t else ""
+            group.append(low)
+            held += len(low)
+            if held >= limit:
+                out += self._group(group)
+                group, held = [], 0
+        return out + (self._group(group) if group else [])
+
+    def _group(self, lows: list[str]) -> list[np.ndarray]:
+        cp = np.frombuffer(("\n".join(lows) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        ok = self.inside[cp]
+        edge = np.flatnonzero(ok[1:] != ok[:-1]) + 1
+        if ok[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]  # the last character is none of a word
+        ends = np.cumsum([len(t) + 1 for t in lows])
+        if not len(start):
+            return [np.empty(0, np.uint64) for _ in lows]
+        size = end - start
+        at = np.flatnonzero(ok)
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        place = np.arange(len(at)) - np.repeat(first, size)
+        terms = self.value[cp[at]] * self._powers(int(size.max()) + 1)[place]
+        h = mix(np.add.reduceat(terms, first) + size.astype(np.uint64))
+        return np.split(h, np.searchsorted(start, ends[:-1]))
+
+
 def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of all runs of ``width`` words in order; of the whole text if it is shorter, none if empty."""
     n = len(hashes)

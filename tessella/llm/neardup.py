@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, WordHash, cut, map_rows, mix, shingles, signed, small_batches, unsigned, word_hashes, words, written
+from tessella.llm.common import Bloom, TextHash, cut, map_rows, mix, shingles, signed, small_batches, unsigned, written
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -107,13 +107,13 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return acc
 
 
-def shingle_set(text: str | None, memo: WordHash) -> np.ndarray:
-    return shingles(word_hashes(words(text), memo), WIDTH)
+def shingle_set(text: str | None, hasher: TextHash) -> np.ndarray:
+    return shingles(hasher.one(text), WIDTH)
 
 
 # ------------------------------------------------------------- graph
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b); the label is the lowest node of its component.
+    """(node, label) for the nodes of ``edges`` (a, b); the label is the lowest node of the component, which has no row itself.
 
     Alternating large-star and small-star steps: each round is a few
     aggregations and joins, none of which gathers a node's neighbours.
@@ -150,23 +150,22 @@ def _signed_docs(rows: DataFrame) -> DataFrame:
     """(node, hi, lo, keys) of all texts with words; hi and lo identify the words in order."""
 
     def make():
-        memo = WordHash()
+        hasher = TextHash()
 
         def step(cols):
             out: dict[str, list] = {"node": [], "hi": [], "lo": [], "keys": []}
-            nodes, texts, at = cols["node"], cols["text"], 0
+            nodes, hashes, at = cols["node"], hasher.many(cols["text"]), 0
             seen: dict[int, np.ndarray] = {}
             while at < len(nodes):
                 held, sets, which = 0, [], []
                 while at < len(nodes) and held < 30_000:
-                    ws = words(texts[at])
-                    if ws:
-                        d = xxhash.xxh128_intdigest(" ".join(ws).encode("utf-8", "surrogatepass"))
+                    h = hashes[at]
+                    if len(h):
+                        d = xxhash.xxh128_intdigest(h.tobytes())
                         which.append((nodes[at], d))
                         if d not in seen:
                             seen[d] = None  # filled below
-                            s = shingles(word_hashes(ws, memo), WIDTH)
-                            sets.append((d, weighted(s)))
+                            sets.append((d, weighted(shingles(h, WIDTH))))
                             held += len(sets[-1][1][0])
                     at += 1
                 if sets:
@@ -235,8 +234,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     small_batches(spark)
     rows = _rows(docs)
     signed_docs = written(_signed_docs(rows), "signatures")
-    same = signed_docs.groupBy("hi", "lo").agg(F.min("node").alias("rep"))
-    member = cut(signed_docs.select("node", "hi", "lo").join(same, ["hi", "lo"]).select("node", "rep").distinct())
+    # materialised, so that the join below can split a text that has very many copies
+    same = cut(signed_docs.groupBy("hi", "lo").agg(F.min("node").alias("rep")))
+    member = cut(signed_docs.select("node", "hi", "lo").join(same, ["hi", "lo"]).select("node", "rep"))
     reps = signed_docs.join(same.select("hi", "lo", F.col("rep").alias("node")), ["hi", "lo", "node"], "left_semi")
     reps = reps.dropDuplicates(["node", "hi", "lo"])
     first, pairs = _candidates(reps.select(F.explode("keys").alias("key"), "node"))
@@ -246,15 +246,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = spark.sparkContext.broadcast(Bloom.of(ends.distinct().select(F.xxhash64("node").alias("h")), "h", bits=25))
 
     def make():
-        memo = WordHash()
+        hasher = TextHash()
 
         def step(cols):
             out: dict[str, list] = {"node": [], "s": []}
-            for k in np.flatnonzero(wanted.value.test(unsigned(cols["h"]))):
-                s = shingle_set(cols["text"][k], memo)
-                if len(s):
+            at = np.flatnonzero(wanted.value.test(unsigned(cols["h"])))
+            for k, h in zip(at, hasher.many([cols["text"][k] for k in at])):
+                if len(h):
                     out["node"].append(cols["node"][k])
-                    out["s"].append(signed(np.unique(s)))
+                    out["s"].append(signed(np.unique(shingles(h, WIDTH))))
             return out
 
         return step

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import neardup as N
-from tessella.llm.common import WORD, WordHash
+from tessella.llm.common import WORD, TextHash
 from tests.llm.conftest import prose
 
 
@@ -97,8 +97,8 @@ def test_signatures_equal_the_sequential_process():
 
 
 def test_signatures_do_not_depend_on_the_batch():
-    memo = WordHash()
-    sets = [N.weighted(N.shingle_set(prose(k, 5 + 9 * k), memo)) for k in range(30)]
+    hasher = TextHash()
+    sets = [N.weighted(N.shingle_set(prose(k, 5 + 9 * k), hasher)) for k in range(30)]
     together = N.signatures(sets)
     assert all((N.signatures([x])[0] == y).all() for x, y in zip(sets, together))
 
@@ -118,8 +118,7 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["label"] for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    loops = {a for a, b in edges if a == b}
-    assert all(got[x] == find(x) for x in got) and {x for e in edges for x in e} - got.keys() <= loops
+    assert got == {x: find(x) for e in edges for x in e if find(x) != x}
 
 
 def test_stage_keeps_one_of_each_group(make_docs, docs):
