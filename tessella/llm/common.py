@@ -190,6 +190,66 @@ class TextHash:
         return np.split(h, np.searchsorted(start, ends[:-1]))
 
 
+class TermHash:
+    """Places and hashes of the terms of whole texts: runs of at least ``least`` letters, in lower case.
+
+    Offsets are code points of the text as it is; case is dropped letter by letter.
+    """
+
+    def __init__(self, least: int):
+        self.least = least
+        letter = re.compile(r"[^\W\d_]")
+        self.inside = np.zeros(0x110000, bool)
+        low = np.arange(0x110000, dtype=np.int64)
+        for lo, hi in ((0, 0xD800), (0xE000, 0x110000)):
+            for c in range(lo, hi):
+                x = chr(c)
+                if letter.match(x):
+                    self.inside[c] = True
+                    if len(x.lower()) == 1:
+                        low[c] = ord(x.lower())
+        self.value = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[low]
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(256, TextHash._BASE, np.uint64)]))
+
+    def many(self, texts: list[str | None], limit: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, ends, hashes) of each text's terms."""
+        out: list = []
+        group: list[str] = []
+        held = 0
+        for t in texts:
+            group.append(t or "")
+            held += len(group[-1])
+            if held >= limit:
+                out += self._group(group)
+                group, held = [], 0
+        return out + (self._group(group) if group else [])
+
+    def _group(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        ok = self.inside[cp]
+        edge = np.flatnonzero(ok[1:] != ok[:-1]) + 1
+        if ok[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]
+        long = end - start >= self.least
+        start, end = start[long], end[long]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        begins = np.concatenate([[0], ends[:-1]])
+        size = end - start
+        if len(start):
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            place = np.arange(int(size.sum())) - np.repeat(first, size)
+            if int(size.max()) >= len(self.power):
+                self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max()) * 2, TextHash._BASE, np.uint64)]))
+            at = np.repeat(start, size) + place
+            h = mix(np.add.reduceat(self.value[cp[at]] * self.power[place], first) + size.astype(np.uint64))
+        else:
+            h = np.empty(0, np.uint64)
+        cut_at = np.searchsorted(start, ends[:-1])
+        parts = zip(np.split(start, cut_at), np.split(end, cut_at), np.split(h, cut_at), begins)
+        return [(s - b, e - b, x) for s, e, x, b in parts]
+
+
 def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of all runs of ``width`` words in order; of the whole text if it is shorter, none if empty."""
     n = len(hashes)

@@ -15,13 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, WordHash, cut, map_rows, signed, small_batches, text_key, word_hashes, written
+from tessella.llm.common import Bloom, TermHash, WordHash, cut, map_rows, signed, small_batches, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
@@ -36,7 +35,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{%d,}" % MIN_TERM)
 
 
 def luhn(digits: str) -> bool:
@@ -90,15 +88,14 @@ def _entity(kind: int, value: str) -> str:
     return f"{kind}:" + (value.lower() if kind < 2 else "".join(c for c in value if c.isdigit()))
 
 
-def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words of letters outside all base spans."""
-    found = [(m.start(), m.end()) for m in _TERM.finditer(text)]
-    if not spans:
-        return found
-    starts = [s for s, _, _ in spans]
-    ends = list(accumulate((e for _, _, e in spans), max))
-    at = np.searchsorted(starts, [b for _, b in found], side="left") - 1
-    return [w for w, k in zip(found, at) if k < 0 or ends[k] <= w[0]]
+def _outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """True for the words [start, end) that overlap no base span."""
+    if not spans or not len(start):
+        return np.ones(len(start), bool)
+    begin = np.array([a for a, _, _ in spans])
+    reach = np.maximum.accumulate([b for _, _, b in spans])
+    k = np.searchsorted(begin, end, side="left") - 1
+    return (k < 0) | (reach[k] <= start)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -118,28 +115,26 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, min_texts: int = MIN
     rows = _rows(docs)
 
     def near():
-        memo = WordHash()
+        memo, hasher = WordHash(), TermHash(MIN_TERM)
 
         def step(cols):
             out: dict[str, list] = {"entity": [], "kind": [], "term": [], "key": []}
-            for key, text in zip(cols["key"], cols["text"]):
-                spans = base_spans(text)
-                if not spans:
-                    continue
-                words = _terms(text, spans)
-                starts = np.array([w[0] for w in words], np.int64)
+            spans = [base_spans(t) for t in cols["text"]]
+            some = [k for k, s in enumerate(spans) if s]
+            for k, (start, end, h) in zip(some, hasher.many([cols["text"][k] for k in some])):
+                text, free = cols["text"][k], _outside(start, end, spans[k])
+                start, h = start[free], h[free]
                 pairs: set[tuple[int, int, int]] = set()
-                for a, kind, b in spans:
+                for a, kind, b in spans[k]:
                     e = memo[_entity(kind, text[a:b])]
-                    i = int(np.searchsorted(starts, a))
+                    i = int(np.searchsorted(start, a))
                     pairs.add((e, kind, 0))
-                    for s, t in words[max(0, i - window) : i + window]:
-                        pairs.add((e, kind, memo[text[s:t].lower()]))
-                for e, kind, t in pairs:
+                    pairs.update((e, kind, t) for t in h[max(0, i - window) : i + window].tolist())
+                for e, kind, t in sorted(pairs):
                     out["entity"].append(e)
                     out["kind"].append(kind)
                     out["term"].append(t)
-                    out["key"].append(key)
+                    out["key"].append(cols["key"][k])
             for c in ("entity", "term"):
                 out[c] = signed(np.array(out[c], np.uint64))
             return out
@@ -158,14 +153,14 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, min_texts: int = MIN
     wanted = spark.sparkContext.broadcast(Bloom.of(candidates, "term"))
 
     def frequency():
-        memo = WordHash()
+        hasher = TermHash(MIN_TERM)
 
         def step(cols):
             seen = []
-            for text in cols["text"]:
-                if text:
-                    h = np.unique(word_hashes((w.lower() for w in _TERM.findall(text)), memo))
-                    seen.append(h[wanted.value.test(h)])
+            for _, _, h in hasher.many(cols["text"]):
+                h = h[wanted.value.test(h)] if len(h) else h
+                if len(h):
+                    seen.append(np.unique(h))
             vals, counts = np.unique(np.concatenate(seen) if seen else np.empty(0, np.uint64), return_counts=True)
             return {"term": signed(vals), "n": counts}
 
@@ -188,24 +183,21 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(terms, "term"))
 
     def occur():
-        memo = WordHash()
+        hasher = TermHash(MIN_TERM)
 
         def step(cols):
             out: dict[str, list] = {"doc_id": [], "key": [], "term": [], "start": [], "end": []}
-            for doc, key, text in zip(cols["doc_id"], cols["key"], cols["text"]):
-                if not text:
-                    continue
-                h = word_hashes((w.lower() for w in _TERM.findall(text)), memo)
-                if not len(h) or not (hit := bloom.value.test(h)).any():
-                    continue
-                words = _terms(text, base_spans(text))
-                h = word_hashes((text[a:b].lower() for a, b in words), memo)
-                for k in np.flatnonzero(bloom.value.test(h)) if len(h) else ():
-                    out["doc_id"].append(doc)
-                    out["key"].append(key)
-                    out["term"].append(int(h[k]))
-                    out["start"].append(words[k][0])
-                    out["end"].append(words[k][1])
+            for doc, key, text, (start, end, h) in zip(cols["doc_id"], cols["key"], cols["text"], hasher.many(cols["text"])):
+                hit = np.flatnonzero(bloom.value.test(h)) if len(h) else ()
+                if len(hit):
+                    start, end, h = start[hit], end[hit], h[hit]
+                    free = _outside(start, end, base_spans(text))
+                    n = int(free.sum())
+                    out["doc_id"] += [doc] * n
+                    out["key"] += [key] * n
+                    out["term"] += h[free].tolist()
+                    out["start"] += start[free].tolist()
+                    out["end"] += end[free].tolist()
             out["term"] = signed(np.array(out["term"], np.uint64))
             return out
 

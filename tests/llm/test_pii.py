@@ -7,8 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessella.llm import pii as I
+from tessella.llm.common import TermHash, signed
 from tests.llm.conftest import prose
 
+TERM = re.compile(r"[^\W\d_]{%d,}" % I.MIN_TERM)
 PATTERNS = [
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
     (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
@@ -31,7 +33,7 @@ def test_base_spans_equal_the_patterns(text):
 
 
 def test_known_values():
-    text = "a.b+c@x-y.co.uk 10.0.0.255 300.1.1.1 4111 1111 1111 1111 +1 (456) 555-2186 @ a@b x@@y.z 1.2.3.4.5.6.7.8"
+    text = "a.b+c@x-y.co.uk 10.0.0.255, 300.1.1.1, 4111 1111 1111 1111, +1 (456) 555-2186 @ a@b x@@y.z 1.2.3.4.5.6.7.8"
     assert I.base_spans(text) == plain(text)
     assert {k for _, k, _ in I.base_spans(text)} == {0, 1, 2, 3}
 
@@ -52,8 +54,8 @@ def brute_terms(texts):
     n, entity, term, joint = len(texts), {}, {}, {}
     for t in texts:
         spans = plain(t)
-        words = [(m.start(), m[0].lower()) for m in I._TERM.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        every = {m[0].lower() for m in I._TERM.finditer(t)}
+        words = [(m.start(), m[0].lower()) for m in TERM.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        every = {m[0].lower() for m in TERM.finditer(t)}
         for w in every:
             term[w] = term.get(w, 0) + 1
         es, ps = set(), set()
@@ -79,16 +81,23 @@ def test_disclosing_terms_match_brute_force(make_docs):
     texts = corpus()
     want = brute_terms(texts)
     assert "zanzibarski" in want and "plumbers" not in want
-    import numpy as np
-
-    from tessella.llm.common import WordHash, signed
-
-    memo = WordHash()
+    hasher = TermHash(I.MIN_TERM)
     got = {r["term"]: r["disclosure"] for r in I.disclosing_terms(make_docs(texts)).collect()}
-    hashed = {int(signed(np.array([memo[w]], np.uint64))[0]): d for w, d in want.items()}
+    hashed = {int(signed(hasher.many([w])[0][2])[0]): d for w, d in want.items()}
     assert got.keys() == hashed.keys() and all(abs(got[k] - d) < 1e-9 for k, d in hashed.items())
 
 
+HASHER = TermHash(3)
+
+
+@settings(deadline=None)
+@given(st.text(alphabet="aBß İé1_²Σ.\u0301\n日", max_size=40), st.text(max_size=30))
+def test_terms_have_original_offsets(a, b):
+    for text, (start, end, h) in zip((a, b), HASHER.many([a, b])):
+        found = [m.span() for m in re.finditer(r"[^\W\d_]{3,}", text)]
+        assert list(zip(start.tolist(), end.tolist())) == found and len(h) == len(found)
+
+
 def test_query(make_docs):
     texts = [*corpus(), None]
     rows = {r["doc_id"]: r for r in I.op1(make_docs(texts)).collect()}
@@ -100,7 +109,7 @@ def test_query(make_docs):
         joined = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base)
         assert rows[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [rows[i][f"n_{k}"] for k in I.KINDS] == [sum(x == j for _, x, _ in base) for j in range(4)]
-        found = [(m.start(), 4, m.end()) for m in I._TERM.finditer(t or "") if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        found = [(m.start(), 4, m.end()) for m in TERM.finditer(t or "") if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, _, b in base)]
         assert rows[i]["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + found))
 
 
