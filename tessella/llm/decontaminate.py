@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, WordHash, cut, map_rows, mix, shingles, signed, small_batches, word_hashes, words
+from tessella.llm.common import Bloom, TextHash, cut, map_rows, mix, shingles, signed, small_batches
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -45,22 +45,21 @@ def _key(least: np.ndarray, k: int, c: int) -> np.ndarray:
     return mix(least ^ (_SEEDS[k] + np.uint64(c)))
 
 
-def item_shingles(text: str | None, memo: WordHash) -> np.ndarray:
-    """Distinct shingles of an item; none if it has fewer than five words."""
-    ws = words(text)
-    return np.unique(shingles(word_hashes(ws, memo), WIDTH)) if len(ws) >= WIDTH else np.empty(0, np.uint64)
+def item_shingles(hashes: np.ndarray) -> np.ndarray:
+    """Distinct shingles of an item of these words; none if there are fewer than five."""
+    return np.unique(shingles(hashes, WIDTH)) if len(hashes) >= WIDTH else np.empty(0, np.uint64)
 
 
 def items(benchmark: DataFrame) -> DataFrame:
     """(item_id, class, n, shingles, keys) of all items that can be searched."""
 
     def make():
-        memo = WordHash()
+        hasher = TextHash()
 
         def step(cols):
             out: dict[str, list] = {n: [] for n in ("item_id", "class", "n", "shingles", "keys")}
-            for item, text in zip(cols["item_id"], cols["text"]):
-                s = item_shingles(text, memo)
+            for item, h in zip(cols["item_id"], hasher.many(cols["text"])):
+                s = item_shingles(h)
                 if len(s):
                     c = size_class(len(s))
                     out["item_id"].append(item)
@@ -98,7 +97,7 @@ def search(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINME
     parts = spark.sparkContext.broadcast(Bloom.of(known.select(F.explode("shingles").alias("s")), "s"))
 
     def make():
-        memo = WordHash()
+        hasher = TextHash()
         block = 1 << LEAST
 
         def collided(s: list[np.ndarray]) -> dict[int, np.ndarray]:
@@ -115,44 +114,42 @@ def search(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINME
                 pad[b * block : b * block + len(x)] = False
             owner = np.repeat(np.arange(len(s)), n_blocks)
             inside = np.arange(total) - base[owner]
-            hits: dict[int, list] = {}
-            # the starting blocks of windows of each class: level c has blocks of 2**c shingles
-            level: list[tuple[int, np.ndarray, np.ndarray]] = []
+            # level c has blocks of 2**c shingles; index pairs give a block of the next level, or a
+            # window (a block and its successor), and repeat a block that has none in its text
+            levels = []
             own, pos = owner, inside
             for c in range(LEAST, classes[-1] + 1):
+                merge = None
                 if c > LEAST:
-                    even = pos % 2 == 0
+                    even = np.flatnonzero(pos % 2 == 0)
+                    nxt = np.minimum(even + 1, len(own) - 1)
+                    merge = even, np.where(own[nxt] == own[even], nxt, even)
                     own, pos = own[even], pos[even] // 2
-                level.append((c, own, pos))
+                nxt = np.minimum(np.arange(1, len(own) + 1), len(own) - 1)
+                levels.append((c, merge, own, np.where(own[nxt] == own, nxt, np.arange(len(own)))))
+            hits: dict[int, list] = {}
             for k in range(BANDS):
                 h = _hashed(flat, k)
                 h[pad] = _TOP
                 least = h.reshape(-1, block).min(axis=1)
-                for c, own, pos in level:
-                    if c > LEAST:  # merge pairs of blocks of the same document
-                        up_own, up_pos = level[c - LEAST - 1][1:]
-                        even = np.flatnonzero(up_pos % 2 == 0)
-                        nxt = np.minimum(even + 1, len(least) - 1)
-                        pair = (even + 1 < len(least)) & (up_own[nxt] == up_own[even])
-                        least = np.where(pair, np.minimum(least[even], least[nxt]), least[even])
+                for c, merge, own, nxt in levels:
+                    if merge is not None:
+                        least = np.minimum(least[merge[0]], least[merge[1]])
                     if c in classes:
-                        nxt = np.minimum(np.arange(1, len(least) + 1), len(least) - 1)
-                        same = own[nxt] == own
-                        window = np.where(same, np.minimum(least, least[nxt]), least)
-                        key = _key(window, k, c)
+                        key = _key(np.minimum(least, least[nxt]), k, c)
                         for i in np.flatnonzero(bands.value.test(key)):
                             hits.setdefault(int(own[i]), []).append(key[i])
             return {d: np.unique(np.array(v, np.uint64)) for d, v in hits.items()}
 
         def step(cols):
             out: dict[str, list] = {"doc_id": [], "keys": [], "hits": []}
-            ids, texts = cols["doc_id"], cols["text"]
+            ids, hashes = cols["doc_id"], hasher.many(cols["text"])
             at = 0
             while at < len(ids):
                 group, held = [], 0
                 begin = at
-                while at < len(ids) and held < 20_000:
-                    s = shingles(word_hashes(words(texts[at]), memo), WIDTH)
+                while at < len(ids) and held < 100_000:
+                    s = shingles(hashes[at], WIDTH)
                     group.append(s)
                     held += len(s)
                     at += 1
