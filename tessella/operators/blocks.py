@@ -175,7 +175,8 @@ def _winners(score: np.ndarray, k: int, bound: float, axis: int) -> tuple[np.nda
     else:
         best = np.partition(score, n - k, axis=axis).take(n - k, axis=axis)
     floor = np.maximum(best - 2 * bound, -BIG / 2)
-    return np.nonzero(score >= (floor[:, None] if axis == 1 else floor[None, :]))
+    hit = np.flatnonzero(score >= (floor[:, None] if axis == 1 else floor[None, :]))
+    return np.divmod(hit, score.shape[1])
 
 
 def join(a: Block, b: Block, k: int, excl: int | None, into: list[tuple[str, int, Best]], mirror: bool) -> None:

@@ -2,8 +2,8 @@
 
 Each series is dealt to blocks of windows (a block's samples are one row), the
 admissible pairs of blocks are listed as numbers, and each pair is joined with
-its two rows by (series, block).  So nothing is broadcast, a series of any
-length spreads over all tasks, and a self-join visits each pair of blocks once,
+its two rows by (series, block).  So a series of any length spreads over all
+tasks, and a self-join visits each pair of blocks once,
 for both directions.  A task merges what it finds for a block before it emits
 it; one shuffle by (series, block) merges tasks.
 """
@@ -24,6 +24,8 @@ from tessella.plans.planner import block_windows, exclusion_zone, positive_int
 from tessella.sources.series import as_value, check_schema
 
 HELD_BLOCKS = 48
+#: Samples of block rows up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 _PART = "series_id string, b long, side string, n int, d2 array<double>, j array<long>"
 PROFILE = "series_id string, i long, rank int, p double, j long"
 
@@ -46,13 +48,19 @@ def block_rows(series: DataFrame, m: int, block: int, constant: DataFrame | None
     return rows
 
 
+def block_counts(series: DataFrame, m: int, block: int) -> DataFrame:
+    """(series_id, last): the number of the last block of windows of each series."""
+    last = F.call_function("div", F.max("i") - (m - 1), F.lit(block).cast("long"))
+    return series.groupBy("series_id").agg(F.max("i").alias("_i"), last.alias("last")).where(F.col("_i") >= m - 1).select("series_id", "last")
+
+
 def _grid(a: DataFrame, b: DataFrame | None, first: DataFrame | None = None) -> DataFrame:
-    """(series_id, qb, tb): pairs of block numbers; for a self-join those with qb <= tb.
+    """(series_id, qb, tb): pairs of block numbers from block counts; for a self-join those with qb <= tb.
 
     ``first`` (series_id, first_block) leaves only pairs with tb >= first_block.
     """
-    na = a.groupBy("series_id").agg(F.max("b").alias("na"))
     one = F.lit(0).cast("long")
+    na = a.select("series_id", F.col("last").alias("na"))
     if b is None:
         if first is None:
             na = na.withColumn("lo", one)
@@ -60,25 +68,41 @@ def _grid(a: DataFrame, b: DataFrame | None, first: DataFrame | None = None) ->
             na = na.join(first, "series_id", "left").withColumn("lo", F.coalesce("first_block", one)).where("lo <= na")
         g = na.select("series_id", "na", "lo", F.explode(F.sequence(one, F.col("na"))).alias("qb"))
         return g.select("series_id", "qb", F.explode(F.sequence(F.greatest("qb", "lo"), F.col("na"))).alias("tb"))
-    nb = b.groupBy("series_id").agg(F.max("b").alias("nb"))
-    g = na.join(nb, "series_id").select("series_id", "nb", F.explode(F.sequence(one, F.col("na"))).alias("qb"))
+    g = na.join(b.select("series_id", F.col("last").alias("nb")), "series_id")
+    g = g.select("series_id", "nb", F.explode(F.sequence(one, F.col("na"))).alias("qb"))
     return g.select("series_id", "qb", F.explode(F.sequence(one, F.col("nb"))).alias("tb"))
 
 
-def _partials(
-    a: DataFrame, b: DataFrame | None, m: int, block: int, k: int, excl: int, normalize: bool, first: DataFrame | None = None
-) -> DataFrame:
-    """Best lists of each block from each task."""
-    self_join = b is None
-    other = a if self_join else b
-    spark = a.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = _grid(a, b, first)
-    cells = cells.join(other.select("series_id", F.col("b").alias("tb"), F.col("samples").alias("ts"), F.col("flags").alias("tf")), ["series_id", "tb"])
-    cells = cells.join(a.select("series_id", F.col("b").alias("qb"), F.col("samples").alias("qs"), F.col("flags").alias("qf")), ["series_id", "qb"])
-    # strips of cells with one query block: lists of that block are merged within a task
+def _cells(series: DataFrame, other: DataFrame | None, m: int, block: int, flags: tuple, first: DataFrame | None) -> DataFrame:
+    """The grid with the samples of both blocks of each pair.
+
+    Pairs are dealt in strips of one query block, whose lists a task merges.
+    Block rows are broadcast if all their samples are few (one count decides);
+    otherwise pairs and rows meet by (series, block), and only then move.
+    """
+    spark = series.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sides = [series] if other is None else [series, other]
+    rows = [block_rows(s, m, block, f) for s, f in zip(sides, flags)]
+    samples = sum(s.count() for s in sides)
+    few = samples * 8 * (1 + m / block) <= BROADCAST_BYTES
     strip = F.call_function("div", F.col("tb"), F.lit(8).cast("long"))
+    counts = [block_counts(s, m, block) for s in sides]
+    cells = _grid(counts[0], counts[1] if other is not None else None, first)
     cells = cells.repartition(tasks, F.xxhash64("series_id", "qb", strip)).sortWithinPartitions("series_id", "qb", "tb")
+    for which, r in (("t", rows[-1]), ("q", rows[0])):
+        named = r.select("series_id", F.col("b").alias(f"{which}b"), F.col("samples").alias(f"{which}s"), F.col("flags").alias(f"{which}f"))
+        cells = cells.join(F.broadcast(named) if few else named, ["series_id", f"{which}b"])
+    return cells
+
+
+def _partials(
+    series: DataFrame, other: DataFrame | None, m: int, block: int, k: int, excl: int, normalize: bool,
+    flags: tuple = (None, None), first: DataFrame | None = None,
+) -> DataFrame:
+    """Best lists of each block from each task."""
+    self_join = other is None
+    cells = _cells(series, other, m, block, flags, first)
     names = ["series_id", "qb", "tb", "qs", "qf", "ts", "tf"]
     one_sided = self_join
 
@@ -187,9 +211,8 @@ def wide(
     series = check_schema(series)
     k = positive_int(k, "k")
     block = block_windows(m) if block is None else positive_int(block, "block")
-    a = block_rows(series, m, block, constant)
-    b = None if other is None else block_rows(check_schema(other), m, block, other_constant)
-    parts = _partials(a, b, m, block, k, exclusion_zone(m, denom), normalize)
+    other = None if other is None else check_schema(other)
+    parts = _partials(series, other, m, block, k, exclusion_zone(m, denom), normalize, (constant, other_constant))
     return _merged(parts, block, k, other is None)
 
 

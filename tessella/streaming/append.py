@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessella.operators import blocks as B
-from tessella.operators.profile import _PART, _merged, _partials, block_rows
+from tessella.operators.profile import _PART, _merged, _partials
 from tessella.plans.planner import block_windows, check_window_size, exclusion_zone, positive_int
 from tessella.sources.series import SCHEMA, check_schema
 
@@ -70,8 +70,8 @@ class GrowingProfile:
         # the first window that holds a new sample
         block = F.call_function("div", F.greatest(F.col("i") - (self.m - 1), F.lit(0).cast("long")), F.lit(self.block).cast("long"))
         first = start.select("series_id", block.alias("first_block"))
-        rows = block_rows(every.join(first.select("series_id"), "series_id", "left_semi"), self.m, self.block)
-        parts = _partials(rows, None, self.m, self.block, self.k, self.excl, self.normalize, first)
+        touched = every.join(first.select("series_id"), "series_id", "left_semi")
+        parts = _partials(touched, None, self.m, self.block, self.k, self.excl, self.normalize, first=first)
         kept = state.join(first, "series_id", "left").where(F.col("first_block").isNull() | (F.col("b") < F.col("first_block")))
         self._at(then, "state", merged_state(kept.drop("first_block").unionByName(parts), self.block, self.k))
         self.version = then

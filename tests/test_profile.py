@@ -211,3 +211,12 @@ def test_equal_series_share_missing_markers(spark):
     assert api._equal(a, b)
     b[10] = 0.0
     assert not api._equal(a, b)
+
+
+def test_package_attributes():
+    import tessella
+
+    assert tessella.stump is api.stump and tessella.__version__
+    assert set(api.__all__) == set(tessella._CALLS)
+    with pytest.raises(AttributeError):
+        tessella.nothing
