@@ -31,14 +31,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "user_id", "value")
 
 
-_CENTS = F.sum(F.round(F.col("value") * 100).cast("long")).cast("double")
+def _cents():
+    """The sum of values in whole cents: exact in any order."""
+    return F.sum(F.round(F.col("value") * 100).cast("long")).cast("double")
 
 
 def hourly(spark: SparkSession, sf_dir: str, kind: str | None = None, nan: tuple[int, ...] = (), flat: tuple[int, int] | None = None) -> DataFrame:
     rows = _events(spark, sf_dir)
     if kind:
         rows = rows.where(F.col("event_type") == kind)
-    s = series_source.bucketed(rows, F.col("ts"), _CENTS, "hour")
+    s = series_source.bucketed(rows, F.col("ts"), _cents(), "hour")
     v = F.col("v")
     if flat:
         v = F.when(F.col("i").between(*flat), F.lit(3.0)).otherwise(v)
@@ -48,7 +50,7 @@ def hourly(spark: SparkSession, sf_dir: str, kind: str | None = None, nan: tuple
 
 
 def by_type(spark: SparkSession, sf_dir: str, fill: float = float("nan")) -> DataFrame:
-    return series_source.gridded(_events(spark, sf_dir), F.col("ts"), _CENTS, "hour", F.col("event_type"), fill)
+    return series_source.gridded(_events(spark, sf_dir), F.col("ts"), _cents(), "hour", F.col("event_type"), fill)
 
 
 def daily(spark: SparkSession, sf_dir: str, divide: int = 1, first: int = 600) -> DataFrame:
