@@ -65,11 +65,18 @@ class Counter:
         # Cuts that no piece spans: before marks, around white space that is in no piece, and
         # between a letter or digit and a sign that no piece has beside one.
         pairs = {p[i : i + 2] for p, _ in pieces for i in range(len(p) - 1)}
-        beside = {c for q in pairs for c, d in (q, q[::-1]) if _ALNUM.match(d) and not _ALNUM.match(c)}
-        sign = re.escape("".join(sorted(_SIGNS - beside)) or "\0")
+        beside: dict[str, set[str]] = {}
+        for q in pairs:
+            for c, d in (q, q[::-1]):
+                if c in _SIGNS and _ALNUM.match(d):
+                    beside.setdefault(c, set()).add(d)
+        # a few odd letters that stand beside a sign in some piece are kept out of runs instead
+        odd = "".join(sorted({d for ds in beside.values() if len(ds) <= 20 for d in ds}))
+        sign = re.escape("".join(sorted(c for c in _SIGNS if beside.get(c, set()) <= set(odd))) or "\0")
+        run = rf"[^\W_{re.escape(odd)}]"
         white = re.escape("".join(c for c in "\n\r\t" if not any(c in p for p, _ in pieces)) or "\0")
         self.split = re.compile(
-            rf"{MARK}*+[^\W_]++(?=[{sign}{white}{MARK}]|\Z)|{MARK}*+[{sign}]++(?=[^\W_]|[{white}{MARK}]|\Z)"
+            rf"{MARK}*+{run}++(?=[{sign}{white}{MARK}]|\Z)|{MARK}*+[{sign}]++(?={run}|[{white}{MARK}]|\Z)"
             rf"|{MARK}*+[^{white}{MARK}]++|{MARK}++|[{white}]"
         )
         self.memo: dict[str, tuple[int, float]] = {}
