@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD = re.compile(r"\w+")
 _M64 = (1 << 64) - 1
@@ -75,6 +76,26 @@ def text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def bounded_sample(ids: DataFrame, group: str, size: int) -> DataFrame:
+    """At most ``size`` rows of (doc_id, group) for each group, those with the lowest hash of their id.
+
+    Groups are counted first; a hash threshold that leaves about four times as
+    many rows is applied where the rows are, so only those are ranked.
+    """
+    n = small(ids.groupBy(group).agg(F.count("*").alias("__n")))
+    h = F.xxhash64(F.col("doc_id"), F.lit(7))
+    unit = F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53))
+    near = ids.withColumn("__h", h).join(n, group).where(unit * F.col("__n") <= 4.0 * size)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("__h", "doc_id"))
+    return near.withColumn("__r", rank).where(F.col("__r") <= size).drop("__n", "__h", "__r")
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, materialised; marked for broadcast if it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import held_out, map_rows, small_batches
+from tessella.llm.common import bounded_sample, held_out, map_rows, small, small_batches
 
 PROFILE = 400
 #: Bound of the labelled sample that the profiles are fitted on, for each language.
@@ -109,14 +109,17 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> Model:
     """Profiles from text and lang of rows that are not held out.
 
-    At most ``sample`` rows of each language, those with the lowest hash of
-    their id and text.  What reaches the driver is ``size`` n-grams a language.
+    At most ``sample`` ids of each language, those with the lowest hash.  What
+    reaches the driver is ``size`` n-grams a language.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
-    rows = rows.withColumn("k", rank).where(F.col("k") <= sample).select("lang", "text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    ids = ids.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
+    chosen = small(bounded_sample(ids, "lang", sample).distinct())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("doc_id", "lang")]
+    chosen = chosen.select(F.col("doc_id").alias("__doc_id"), F.col("lang").alias("__lang"))
+    rows = rows.where(F.col("text").isNotNull()).join(chosen, on, "left_semi").select("lang", "text")
 
     def make():
         grams = Grams()
