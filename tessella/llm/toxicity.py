@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out, map_rows, small_batches
+from tessella.llm.common import TextHash, bounded_sample, held_out, map_rows, mix, shingles, signed, small_batches, written
 
 #: Bound of the labelled sample that lexicon and calibration are fitted on, for each label.
 SAMPLE = 6000
@@ -309,15 +309,40 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, toxic, text) of at most ``sample`` rows a label that are not held out, by hash of the id."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marks = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    marks = bounded_sample(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", sample)
+    marks = marks.select(F.col("doc_id").alias("__d"), "toxic")  # at most 2 * sample rows of two numbers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _one_of_each(rows.join(F.broadcast(marks), F.col("doc_id") == F.col("__d")).select("doc_id", "toxic", "text"))
+
+
+def _one_of_each(sample: DataFrame) -> DataFrame:
+    """The rows of the bounded sample that share none of four least shingles with one of a lower id.
+
+    Copies would lend their rare words the weight of many documents.
+    """
     from pyspark.sql.window import Window
 
-    marks = labels.select(F.col("doc_id").cast("long").alias("__d"), F.col("toxic").cast("int").alias("toxic"))
-    marks = marks.where(F.col("toxic").isin(0, 1) & ~held_out("__d")).groupBy("__d").agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("__d"), "__d"))
-    marks = marks.withColumn("k", rank).where(F.col("k") <= sample).drop("k")
-    # at most 2 * sample rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(marks), F.col("doc_id") == F.col("__d")).select("doc_id", "toxic", "text")
+    def make():
+        hasher = TextHash()
+
+        def step(cols):
+            least = []
+            for doc, h in zip(cols["doc_id"], hasher.many(cols["text"])):
+                s = shingles(h)
+                seeds = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                own = np.full(4, np.uint64(doc % (1 << 63)))
+                least.append(signed(mix(s[:, None] ^ seeds).min(axis=0) if len(s) else mix(own)).tolist())
+            return cols | {"least": least}
+
+        return step
+
+    rows = written(map_rows(sample, make, "doc_id long, toxic int, text string, least array<long>"), "labelled")
+    for k in range(4):
+        rank = F.row_number().over(Window.partitionBy(F.col("least")[k]).orderBy("doc_id", "text"))
+        rows = rows.withColumn(f"r{k}", rank)
+    return rows.where(" AND ".join(f"r{k} = 1" for k in range(4))).select("doc_id", "toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[CharModel, Scorer]:
@@ -347,7 +372,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[CharM
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = map_rows(rows.select("toxic", "text"), make, "f string, clean long, toxic long")
     counts = counts.groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("t") >= MIN_DOCS)
-    odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
+    # counts moved one deviation against the feature, so that a few chance documents don't make a word toxic
+    t, c = F.col("t") - F.sqrt("t") + 0.5, F.col("c") + F.sqrt("c") + 0.5
+    odds = F.log(t / (n1 + 1.0)) - F.log(c / (n0 + 1.0))
     # at most a few features for each of the 2 * sample rows can have MIN_DOCS toxic rows
     best = counts.withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS).select("f", "w").collect()
     weights = {r["f"]: float(r["w"]) for r in best}
