@@ -41,7 +41,7 @@ SUBSTITUTE, DROP_GAP, SHORTEN, DOUBLED, DROP_SIGN = 0.7, 0.4, 0.3, 0.8, 1.0
 ALPHABET = 28  # edge, a to z, other
 _SIGNS = re.escape("".join(LOOKALIKES))
 _WORD = re.compile(r"\w+")
-_SPACED = re.compile(r"[^\W_](?:[ ._*\-]{1,2}[^\W_](?![^\W_])){2,}+")
+_SPACED = re.compile(r"[^\W_](?:[ ._*\-]{1,2}[^\W_](?![^\W_])){2,60}+")
 _TOKEN_SIDE = 100
 
 
