@@ -350,3 +350,37 @@ class Bloom:
             if not len(live):
                 break
         return hit
+
+
+def split_by(docs: DataFrame, keys: DataFrame, by: list) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` that may have a key, rows that certainly have none).
+
+    ``keys`` has one column, 64-bit hashes; ``by`` are the columns of ``docs``
+    whose ``xxhash64`` is looked up.  The texts of the second part, usually
+    nearly all, need no shuffle; the first is joined exactly afterwards.
+    """
+    (name,) = keys.columns
+    spark = docs.sparkSession
+    small_batches(spark)
+    bloom = spark.sparkContext.broadcast(Bloom.of(keys, name, bits=25))
+    names = docs.columns
+    tagged = docs.select("*", F.xxhash64(*by).alias("__h"))
+
+    def part(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = bloom.value.test(unsigned(batch.column(len(names)).to_numpy(zero_copy_only=False)))
+                kept = batch.filter(pa.array(hit == inside))
+                yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names=names)
+
+        return tagged.mapInArrow(run, docs.schema)
+
+    return part(True), part(False)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (one column doc_id, null being an id); all columns stay."""
+    ids = cut(ids.distinct())
+    maybe, kept = split_by(docs, ids.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")), [F.col("doc_id").cast("long")])
+    gone = ids.select(F.col("doc_id").alias("__gone"))
+    return kept.unionByName(maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, TextHash, cut, map_rows, mix, shingles, signed, small_batches
+from tessella.llm.common import Bloom, TextHash, cut, map_rows, mix, shingles, signed, small_batches, without_ids
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -180,8 +180,7 @@ def search(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINME
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns stay."""
-    bad = search(docs, benchmark, containment).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    return without_ids(docs, search(docs, benchmark, containment).select("doc_id"))
 
 
 def op2(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, TextHash, cut, map_rows, mix, shingles, signed, small_batches, unsigned, written
+from tessella.llm.common import Bloom, TextHash, cut, map_rows, mix, shingles, signed, small_batches, unsigned, without_ids, written
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -281,9 +281,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose document has the lowest id of its class; all columns stay."""
-    names = docs.columns
-    gone = classes(docs, similarity).where("doc_id IS NOT NULL AND doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*names)
+    gone = classes(docs, similarity).where("doc_id IS NOT NULL AND doc_id != class_id").select("doc_id")
+    return without_ids(docs, gone)
 
 
 def op8(docs: DataFrame) -> DataFrame:

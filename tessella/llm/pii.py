@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, TermHash, WordHash, cut, map_rows, signed, small_batches, text_key, written
+from tessella.llm.common import Bloom, TermHash, WordHash, cut, map_rows, signed, small_batches, split_by, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
@@ -263,8 +263,11 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     new text.  A null text stays null.
     """
     names = docs.columns
-    spans = _term_spans(docs, disclosing_terms(docs))
-    marked = _joined(docs.withColumn("__key", text_key()).withColumn("__doc", F.col("doc_id").cast("long")), spans, "__doc", "__key")
+    spans = cut(_term_spans(docs, disclosing_terms(docs)))
+    maybe, rest = split_by(docs, spans.select(F.xxhash64("doc_id", "key").alias("h")), [F.col("doc_id").cast("long"), text_key()])
+    maybe = _joined(maybe.withColumn("__key", text_key()).withColumn("__doc", F.col("doc_id").cast("long")), spans, "__doc", "__key")
+    none = F.lit(None).cast(dict(spans.dtypes)["found"]).alias("found")
+    marked = maybe.select(*names, "found").unionByName(rest.select(*names, none))
     import pyarrow as pa
 
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
