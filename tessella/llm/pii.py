@@ -9,6 +9,9 @@ near an entity may reveal it: with document counts over the whole corpus,
 and PMI / IC is the share of the entity's information that the term discloses.
 Terms at or above ``REMOVE`` are removed, those at or above ``GENERALISE`` are
 replaced by the entity's class; wherever in the corpus they stand.
+
+Most values stand in one text, so pairs of any support count.  Beside a value of
+one document, a term of up to N^(1 - GENERALISE) documents qualifies.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from tessella.llm.common import Bloom, TermHash, WordHash, cut, map_rows, signed
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 8
-MIN_TEXTS = 3
+MIN_TEXTS = 1
 GENERALISE, REMOVE = 0.6, 0.85
 MIN_TERM = 4
 _LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -105,8 +108,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, window: int = WINDOW, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE) -> DataFrame:
     """(term, kind, disclosure) of all terms that disclose an entity, with the entity kind they disclose most.
 
-    Candidates are terms within ``window`` words of an entity in at least
-    ``min_texts`` different texts (copies count once there).  Counts are
+    Candidates are terms within ``window`` words of an entity, in at least
+    ``min_texts`` different texts (copies count once there; by default any).  Counts are
     documents, over the whole table.  The table of terms is a DataFrame; only
     Bloom filters of fixed size are broadcast.
     """

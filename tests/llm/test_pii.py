@@ -129,3 +129,15 @@ def test_odd_rows(odd_docs, empty_docs):
     assert len(rows) == 9 and all(r["spans"] == "" for r in rows)
     assert I.sanitise(odd_docs).count() == 9
     assert I.op1(empty_docs).collect() == []
+
+
+def test_a_value_that_occurs_once_is_disclosed_by_its_rare_terms(make_docs):
+    common = "alpha bravo gamma"
+    texts = [f"{common} {prose(k, 20)}" for k in range(200)] + [f"{common} zanzibarski ann@corp.example {common}"]
+    texts += [f"{common} beside zanzibarski", f"{common} +1 (456) 555-2186 quetzalcoat"]
+    rows = {r["doc_id"]: r for r in I.op1(make_docs(texts)).collect()}
+    assert rows[200]["n_term"] == 1 and rows[201]["n_term"] == 1 and rows[202]["n_term"] == 1
+    assert all(rows[k]["n_term"] == 0 for k in range(200))
+    clean = {r["doc_id"]: r["text"] for r in I.sanitise(make_docs(texts)).collect()}
+    assert not any("zanzibarski" in clean[k] or "quetzal" in clean[k] for k in (200, 201, 202))
+    assert clean[200].startswith(common) and clean[200].endswith(common)
