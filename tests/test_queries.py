@@ -50,3 +50,35 @@ def test_entry_needs_no_session():
 def test_entry_without_the_other_package():
     out = run("import sys; sys.modules['tessella.llm'] = None; import __spark_entry__ as e; print(sorted(e.queries()))")
     assert eval(out) == sorted(TABLE)
+
+
+def brute_days(divide, k, m=14, excl=4):
+    """Series length, and for each window the k best (d, j), the best left j and the best right j, over all days."""
+    import numpy as np
+
+    days = pd.read_parquet(f"{DATA}/lineitem.parquet", columns=["l_shipdate"])["l_shipdate"]
+    v = pd.to_datetime(days).dt.floor("D").value_counts().sort_index().to_numpy() // divide
+    w = np.lib.stride_tricks.sliding_window_view(v, m).astype(np.int64)
+    at, out = np.arange(len(w)), []
+    for i in at:
+        d2 = ((w - w[i]) ** 2).sum(axis=1)
+        order = np.lexsort((2 * abs(at - i) + (at > i), d2))
+        order = order[abs(order - i) > excl]
+        left, right = order[order < i], order[order > i]
+        best = [(round(float(np.sqrt(d2[j])), 6), int(j)) for j in order[:k]]
+        out.append((best, int(left[0]) if len(left) else -1, int(right[0]) if len(right) else -1))
+    return len(v), out
+
+
+@pytest.mark.parametrize("name, divide, k", [("mp_days_raw_k1", 1, 1), ("mp_days_raw_topk", 1, 3), ("mp_days_raw_exact_ties", 8, 4)])
+def test_all_days_match_brute_force(spark, sql, name, divide, k):
+    n, want = brute_days(divide, k)
+    assert n > 600
+    got = {(r["i"], r["rank"]): (r["p"], r["j"]) for r in TABLE[name][0](spark, DATA).collect()}
+    assert got == {(i, r + 1): x for i, (best, _, _) in enumerate(want) for r, x in enumerate(best)}
+
+
+def test_sides_of_all_days_match_brute_force(spark, sql):
+    _, want = brute_days(1, 1)
+    got = {r["i"]: (r["left_j"], r["right_j"]) for r in TABLE["mp_days_raw_left_right"][0](spark, DATA).collect()}
+    assert got == {i: x[1:] for i, x in enumerate(want)}
