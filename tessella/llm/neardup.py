@@ -11,11 +11,14 @@ doubled in the rare case that a register stayed free.
 Equal texts are one node.  Registers are joined to ``BANDS`` bands of ``ROWS``;
 nodes of a bucket are candidates: all pairs of a small bucket; in a larger one
 each node with three centres (the node with most company over all its buckets,
-the lowest id, and a random one for each bucket).  So the number of candidates
-is linear in that of nodes.  The likeliest centre of each node is verified
-first; what is not yet in one class then is verified as well.  A pair is linked
-if the exact Jaccard similarity of the distinct shingles is 0.8 or more, and
-classes are the connected components of links.
+the lowest id, and a random one for each bucket).  The likeliest centre of each
+node is verified first; what is not yet in one class then is verified as well.
+Large buckets that still hold several classes are then compared exactly, all
+nodes of one class with all of another, as products of blocks; buckets of the
+same nodes once.  So copies of one text stay linear, and only unlike texts in
+one large bucket cost their pairs.  A pair is linked if the exact Jaccard
+similarity of the distinct shingles is 0.8 or more, and classes are the
+connected components of links.
 
 At similarity 0.8 a pair misses all 42 bands of 6 with odds of 3e-6.
 """
@@ -23,6 +26,8 @@ At similarity 0.8 a pair misses all 42 bands of 6 with odds of 3e-6.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 42
 SMALL_BUCKET = 12
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 4_000_000, 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -186,8 +192,8 @@ def _signed_docs(rows: DataFrame) -> DataFrame:
     return map_rows(rows.select("node", "text"), make, "node long, hi long, lo long, keys array<long>")
 
 
-def _candidates(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, node): (node, centre) the likeliest centre of each node, and (a, b) all candidate pairs."""
+def _candidates(buckets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (key, node): (node, centre) the likeliest centre of each node, (a, b) candidate pairs, (key, node) of large buckets."""
     sizes = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     shared = written(buckets.join(sizes, "key"), "buckets")
     company = shared.groupBy("node").agg(F.sum("k").alias("hub"))
@@ -207,8 +213,8 @@ def _candidates(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = small.select("a", F.explode(F.slice("ns", F.col("i") + 2, F.lit(SMALL_BUCKET))).alias("b"))
     large = stars.where(F.col("k") > SMALL_BUCKET)
     ends = F.explode(F.array("hub", "low", "any")).alias("c")
-    large = large.select("node", ends).where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-    return first, small.unionByName(large).distinct()
+    star = large.select("node", ends).where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    return first, small.unionByName(star).distinct(), large.select("key", "node")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -222,6 +228,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(inter >= (F.size("sa") + F.size("sb") - inter) * F.lit(similarity)).select("a", "b")
 
 
+def _block_links(table: pa.Table, similarity: float) -> pa.Table:
+    """The linked (a, b) of different labels: one from each block of ``table``, or both from its only one."""
+    nodes, labels, block = (table[c].to_numpy() for c in ("node", "label", "block"))
+    lists = pa.concat_arrays(table["s"].chunks)
+    sizes = np.diff(lists.offsets.to_numpy())
+    _, col, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(nodes)), sizes)
+    shared = count[col] > 1
+    row, col = row[shared], (np.cumsum(count > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    names, of, members = np.unique(labels, return_inverse=True, return_counts=True)
+    if block.min() == block.max():
+        left = left[of[left] != members.argmax()]  # the others with all
+    if len(names) == 1 or not len(left):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    inter = np.zeros((len(left), len(right)))
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, (at, at + COLUMNS))
+        has = np.zeros((len(nodes), COLUMNS), np.float32)
+        has[row[lo:hi], col[lo:hi] - at] = 1
+        inter += has[left] @ has[right].T
+    union = sizes[left][:, None] + sizes[right] - inter
+    i, j = np.nonzero((inter >= union * similarity) & (labels[left][:, None] != labels[right]))
+    a, b = nodes[left[i]], nodes[right[j]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _large_links(large: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All links (a, b) between different labels inside the buckets (key, node)."""
+    own = sets.select("node", F.size("s").alias("size")).join(label, "node", "left")
+    tagged = written(large.join(own.select("node", "size", F.coalesce("label", "node").alias("label")), "node"), "large")
+    mixed = tagged.groupBy("key").agg(
+        F.count("*").alias("k"), F.sum("size").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
+        *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)],
+    ).where("low != high")
+    mixed = mixed.groupBy("x0", "x1").agg(F.min_by(F.struct("key", "k", "size"), "key").alias("m"))
+    parts = F.ceil(F.greatest(F.col("m.k") / BLOCK, F.col("m.size") / BLOCK_SHINGLES)).cast("int")
+    dealt = tagged.select("key", "node", "label").join(mixed.select("m.key", parts.alias("parts")), "key")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def run(table: pa.Table) -> pa.Table:
+        p, q = table["p"][0].as_py(), table["q"][0].as_py()
+        both = pa.compute.count_distinct(table["block"]).as_py() == 2
+        if p != q and not both:
+            return table.select(["node", "label"]).rename_columns(["a", "b"]).slice(0, 0)
+        return _block_links(table, similarity)
+
+    return dealt.join(sets, "node").groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs``.
 
@@ -239,7 +299,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     member = cut(signed_docs.select("node", "hi", "lo").join(same, ["hi", "lo"]).select("node", "rep"))
     reps = signed_docs.join(same.select("hi", "lo", F.col("rep").alias("node")), ["hi", "lo", "node"], "left_semi")
     reps = reps.dropDuplicates(["node", "hi", "lo"])
-    first, pairs = _candidates(reps.select(F.explode("keys").alias("key"), "node"))
+    first, pairs, large = _candidates(reps.select(F.explode("keys").alias("key"), "node"))
     pairs = written(pairs, "pairs")
     first = cut(first)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(first.select(F.explode(F.array("node", "centre")).alias("node")))
@@ -272,6 +332,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     equal = member.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     # the first links only through their labels; equal texts by their representative
     merged = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
+    label = cut(components(merged))
+    merged = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(cut(_large_links(large, label, sets, similarity)))
     final = components(merged.unionByName(equal))
     labels = final.select(F.col("node").alias("__n"), "label")
     return rows.join(labels, F.col("node") == F.col("__n"), "left").select(

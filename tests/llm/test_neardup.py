@@ -134,3 +134,13 @@ def test_odd_rows(odd_docs, empty_docs):
     assert all(r["class_id"] == r["doc_id"] for r in rows if r["doc_id"] is not None)
     assert N.op8(empty_docs).collect() == []
     assert N.keep_one(odd_docs).count() == 9
+
+
+def test_a_templated_family_equals_brute_force(make_docs):
+    """One common passage, pairs of texts just above the threshold and all others just below: large buckets hold most."""
+    common = prose(5000, 804)
+    texts = [" ".join([common, prose(6000 + k // 2, 6), prose(7000 + k, 98)]) for k in range(120)]
+    want = brute(dict(enumerate(texts)))
+    assert want == {k: k - k % 2 for k in range(120)}
+    got = {r["doc_id"]: r["class_id"] for r in N.op8(make_docs(texts).repartition(4)).collect()}
+    assert got == want
