@@ -177,17 +177,28 @@ def features(stored: bytes) -> tuple[bytes, np.ndarray, list[tuple[int, int]]]:
     return samples, mel, segments(mel.mean(axis=1))
 
 
-def summary(mel: np.ndarray, active: list[tuple[int, int]]) -> str:
-    """Frames, active time spans in milliseconds (first three) and whole-decibel band means."""
+def summary(mel: np.ndarray, active: list[tuple[int, int]], stream: bytes) -> str:
+    """Frames, all active time spans in milliseconds, whole-decibel band means and a digest of the tensor stream."""
     ms = 1000 * HOP // RATE_OUT
-    spans = ",".join(f"{a * ms}-{b * ms}" for a, b in active[:3])
+    spans = ",".join(f"{a * ms}-{b * ms}" for a, b in active)
     mean = ",".join(str(int(v)) for v in np.floor(mel.mean(axis=0, dtype=np.float64) + 0.5))
-    return f"frames={len(mel)};segments={len(active)}:{spans};active={sum(b - a for a, b in active)};mel={mean}"
+    digest = hashlib.sha256(stream).hexdigest()
+    return f"frames={len(mel)};segments={len(active)}:{spans};active={sum(b - a for a, b in active)};mel={mean};tensors={digest}"
+
+
+def read_features(stream: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Log-mel frames and active frame spans of a stored tensor stream."""
+    table = read_ipc(stream)
+    blocks = table["log_mel"].combine_chunks()
+    blocks = blocks.chunk(0) if isinstance(blocks, pa.ChunkedArray) else blocks
+    last = table["end_s"][-1].as_py() * RATE_OUT - FRAME
+    mel = blocks.to_numpy_ndarray().reshape(-1, MELS)[: round(last / HOP) + 1]
+    return mel, segments(mel.mean(axis=1))
 
 
 # ----------------------------------------------------------------- operators
 def audio_features(docs: DataFrame) -> DataFrame:
-    """doc_id, the stored WAV file and an Arrow stream of its fixed-shape feature tensors with time spans.
+    """doc_id, bytes before padding, the stored WAV file and an Arrow stream of its fixed-shape feature tensors with time spans.
 
     A null text counts as empty: one block of padding.  Every row gets one
     result, repeated rows equal ones; other columns are ignored; an empty table
@@ -198,34 +209,34 @@ def audio_features(docs: DataFrame) -> DataFrame:
 
     def make():
         def step(cols):
-            out = {"doc_id": cols["doc_id"], "media": [], "features": []}
+            out = {"doc_id": cols["doc_id"], "n_bytes": [], "media": [], "features": []}
             for text in cols["text"]:
-                media = wav_bytes(payload_of(text)[0])
+                payload, n = payload_of(text)
+                media = wav_bytes(payload)
                 _, mel, active = features(media)
+                out["n_bytes"].append(n)
                 out["media"].append(media)
                 out["features"].append(ipc(arrow_table(mel, active)))
             return out
 
         return step
 
-    return map_rows(rows, make, "doc_id long, media binary, features binary")
+    return map_rows(rows, make, "doc_id long, n_bytes long, media binary, features binary")
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Digests of what ``audio_features`` stores, from its files and tensor streams read back."""
+    rows = audio_features(docs)
 
     def make():
         def step(cols):
             out: dict[str, list] = {"doc_id": cols["doc_id"]}
             got = []
-            for text in cols["text"]:
-                payload, n = payload_of(text)
-                media = wav_bytes(payload)
-                back, mel, active = features(media)
+            for n, media, stream in zip(cols["n_bytes"], cols["media"], cols["features"]):
+                back = wav_samples(media)[0]
                 got.append((
                     n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
-                    hashlib.sha256(media).hexdigest(), summary(mel, active),
+                    hashlib.sha256(media).hexdigest(), summary(*read_features(stream), stream),
                 ))
             names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
             return out | {name: list(c) for name, c in zip(names, zip(*got))}

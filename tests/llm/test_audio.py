@@ -96,3 +96,19 @@ def test_query_digests(odd_docs, empty_docs, make_docs):
     frames = (size // 2 - A.FRAME) // A.HOP + 1  # at half the rate
     assert A.read_ipc(row["features"]).num_rows == -(-frames // A.TENSOR_FRAMES)
     assert A.wav_samples(row["media"])[1] == A.RATE_IN
+
+
+def test_query_covers_all_spans_and_the_stored_tensors(make_docs):
+    table = make_docs(["".join(" " * 4000 + prose(k, 400) for k in range(7)), prose(6, 20), None])
+    stored = {r["doc_id"]: r for r in A.audio_features(table).collect()}
+    most = 0
+    for r in A.op10(table).collect():
+        _, mel, active = A.features(stored[r["doc_id"]]["media"])
+        back, spans = A.read_features(stored[r["doc_id"]]["features"])
+        assert np.array_equal(back, mel) and spans == active
+        parts = dict(p.split("=", 1) for p in r["feature"].split(";"))
+        n, _, listed = parts["segments"].partition(":")
+        assert [tuple(int(x) // 10 for x in s.split("-")) for s in listed.split(",") if s] == active and int(n) == len(active)
+        assert parts["tensors"] == hashlib.sha256(stored[r["doc_id"]]["features"]).hexdigest()
+        most = max(most, len(active))
+    assert most > 3
