@@ -4,7 +4,8 @@ A unit starts at every line start, after every mark (full stop, comma and the
 like, with white space, between two words), and at a capitalised word that
 follows an unmarked word (a passage pasted into running text); it ends at the
 first mark or line end that gives it at least ``MIN_WORDS`` words.  So units
-overlap, and a repeated passage is found wherever it stands.
+overlap, and a repeated passage is found wherever it stands.  Beside these,
+every whole line that has a word is a unit, whatever its length.
 Units are normalised (lower case, words only) and hashed to 128 bits.  Over
 the whole table each digest keeps its earliest occurrence, by document id and
 then offset; all others are removed, as spans of the original text.
@@ -29,11 +30,12 @@ from tessella.llm.common import Bloom, map_rows, mix, signed, small_batches, wri
 MIN_WORDS = 8
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _SALT = np.uint64(0xA0761D6478BD642F)
+_LINE = np.uint64(0xE7037ED1A0B428DB)
 _LATE = (1 << 63) - 1
 
 
 class Units(NamedTuple):
-    """Units of several texts, by text and start: number of the text, offsets, 128-bit digest."""
+    """Units of several texts, by text and start, lines last: number of the text, offsets, 128-bit digest."""
 
     text: np.ndarray
     start: np.ndarray
@@ -50,8 +52,8 @@ class UnitHash:
     text cost one pass, however they overlap.
     """
 
-    def __init__(self, min_words: int = MIN_WORDS):
-        self.min_words = min_words
+    def __init__(self, min_words: int = MIN_WORDS, lines: bool = False):
+        self.min_words, self.lines = min_words, lines
         n = 0x110000
         self.word, self.space, self.upper = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
         low = np.arange(n, dtype=np.int64)
@@ -114,7 +116,8 @@ class UnitHash:
         alone[1:] &= ~bang[:-1]
         alone[:-1] &= ~bang[1:]
         blanks = between(space)
-        stop = (between(cp == 10) > 0) | (blanks > 0) & (between(alone | self.mark[cp]) > 0)
+        line = between(cp == 10) > 0
+        stop = line | (blanks > 0) & (between(alone | self.mark[cp]) > 0)
         cuts = np.append(np.flatnonzero(stop) + 1, len(start))  # numbers of words before stops; the last is all of them
         begins = np.concatenate([[0], cuts[:-1]])
         # capitalised words after uncapitalised ones, inside a clause: the last of each
@@ -135,13 +138,20 @@ class UnitHash:
         a, owner, b = a[fits], owner[fits], cuts[k[fits]]
         fits = end[b - 1] <= text_ends[owner]
         a, owner, b = a[fits], owner[fits], b[fits]
+        clauses = len(a)
+        if self.lines:  # texts end lines
+            ends = np.append(np.flatnonzero(line) + 1, len(start))
+            a, b = np.concatenate([a, [0], ends[:-1]]), np.concatenate([b, ends])
+            owner = np.searchsorted(text_ends, start[a], side="right")
         base = np.concatenate([[0], text_ends])[owner]
         out = [owner + number, start[a] - base, end[b - 1] - base]
         n = len(h) + 1
         for salt, power in ((np.uint64(0), _B1), (_SALT, _B2)):
             sums = np.concatenate([[np.uint64(0)], np.cumsum((mix(h ^ salt) if salt else h) * self._power(power, n)[:-1])])
             back = self._power(pow(power, -1, 1 << 64), n)
-            out.append(mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64)))
+            d = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+            d[clauses:] = mix(d[clauses:] ^ _LINE)  # lines equal only lines
+            out.append(d)
         return Units(*out)
 
 
@@ -164,13 +174,15 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
     """(doc_id, start, end, kept_doc_id): every unit occurrence that is not its digest's earliest.
 
+    With ``lines``, whole lines of any length are units beside those of at least ``min_words`` words.
+
     Offsets are code points of the original text, end exclusive.  The earliest
     occurrence is that of the lowest id (a null id comes last), then the lowest
     start.  Rows of one id are one document: repeated rows get equal decisions.
-    Null, empty and short texts have no units; other columns are ignored.
+    Null and empty texts have no units; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = _rows(docs)
@@ -178,7 +190,7 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return {n: np.concatenate([p[n] for p in parts]) if parts else [] for n in names}
 
     def count():
-        hasher = UnitHash(min_words)
+        hasher = UnitHash(min_words, lines)
 
         def step(cols):
             ids = np.array([_LATE if d is None else d for d in cols["doc_id"]], np.int64)
@@ -198,7 +210,7 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(shared, "hi", bits=25))
 
     def occur():
-        hasher = UnitHash(min_words)
+        hasher = UnitHash(min_words, lines)
 
         def step(cols):
             ids = np.array([_LATE if d is None else d for d in cols["doc_id"]], np.int64)
@@ -222,7 +234,7 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document that loses text: doc_id, n_units, spans (array of start, end, merged), n_chars, kept_docs."""
-    one = removed_units(docs, min_words).groupBy("doc_id").agg(
+    one = removed_units(docs, min_words, lines=True).groupBy("doc_id").agg(
         F.countDistinct("start", "end").alias("n_units"),
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"),
         F.sort_array(F.collect_set("kept_doc_id")).alias("kept_docs"),

@@ -131,3 +131,32 @@ def test_odd_rows(odd_docs, empty_docs):
 def test_null_id_ranks_last(make_docs):
     rows = L.op9(make_docs([PASSAGE, PASSAGE], ids=[None, 9])).collect()
     assert [(r["doc_id"], r["kept_docs"]) for r in rows] == [(None, "9")]
+
+
+def test_short_lines_are_units_whatever_surrounds_them(make_docs):
+    notice = "All rights reserved."
+    texts = [prose(k, 20) + f"\n{notice if k else notice.upper()}\n" + prose(k + 50, 20) for k in range(3)] + ["x y\n" + notice, f"{notice}\nq r\n\n{notice}", "so all rights reserved"]
+    rows = {r["doc_id"]: r["text"] for r in L.deduplicate(make_docs(texts)).collect()}
+    assert [notice.rstrip(".").lower() in rows[k].lower() for k in range(6)] == [True, False, False, False, False, True]
+    assert rows[0] == texts[0] and rows[5] == texts[5] and rows[4] == ".\nq r\n\n."
+    assert {r["doc_id"]: r["n_units"] for r in L.op9(make_docs(texts)).collect()} == {1: 1, 2: 1, 3: 1, 4: 2}
+
+
+def test_whole_lines_match_brute_force(make_docs):
+    lines = ["a", "B!", "one two", "One,  two", "---", "", prose(1, 9), prose(2, 14) + " tail. end", "İ x"]
+    texts = ["\n".join(lines[(k * j + j) % len(lines)] for j in range(1 + k % 5)) for k in range(30)]
+    first, want = {}, {}
+    for d, t in enumerate(texts):
+        at = 0
+        for line in t.split("\n"):
+            w = [m for m in re.finditer(r"\w+", line)]
+            if w:
+                norm = " ".join(lowered(m[0]) for m in w)
+                if norm in first:
+                    want.setdefault(d, set()).add((at + w[0].start(), at + w[-1].end()))
+                first.setdefault(norm, d)
+            at += len(line) + 1
+    got = {}
+    for r in L.removed_units(make_docs(texts).repartition(3), 10**6, lines=True).collect():
+        got.setdefault(r["doc_id"], set()).add((r["start"], r["end"]))
+    assert got == want
