@@ -144,3 +144,15 @@ def test_a_templated_family_equals_brute_force(make_docs):
     assert want == {k: k - k % 2 for k in range(120)}
     got = {r["doc_id"]: r["class_id"] for r in N.op8(make_docs(texts).repartition(4)).collect()}
     assert got == want
+
+
+def test_a_block_repeated_many_times_does_not_hide_a_pair(make_docs):
+    """Plain similarity 0.8 or more, a far lower probability Jaccard: a passage stands 150 times in one text of each pair."""
+    texts = []
+    for g in range(40):
+        rest, block = prose(8000 + g, 140), prose(9000 + g, 40)
+        texts += [rest + " " + block, rest + " " + " ".join([block] * 150) + " " + prose(9500 + g, 20)]
+    want = brute(dict(enumerate(texts)))
+    assert want == {k: k - k % 2 for k in range(80)}
+    got = {r["doc_id"]: r["class_id"] for r in N.op8(make_docs(texts).repartition(4)).collect()}
+    assert got == want
