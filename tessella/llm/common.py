@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -27,7 +28,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             return jvm.get()
-        where = tempfile.mkdtemp(prefix="tessella-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tessella-")  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -61,6 +64,23 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column of ``taken`` has it."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # --------------------------------------------------------------- documents
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -121,6 +141,7 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(got[f.name], type=f.type) for f in out_schema], schema=out_schema
                 )
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -298,28 +319,31 @@ def unsigned(x) -> np.ndarray:
 
 # --------------------------------------------------------------- Bloom filter
 class Bloom:
-    """A Bloom filter of a fixed number of bits, over 64-bit hashes.
+    """A Bloom filter over 64-bit hashes.
 
-    Only a pre-filter: what passes it is joined exactly afterwards.  Its size
-    does not depend on the data (2**bits / 8 bytes are broadcast), so a larger
-    key set raises the share of rows that pass, never the memory.
+    Only a pre-filter: what passes it is joined exactly afterwards.  It has
+    about ``PER_KEY`` bits for each key, counted beforehand, and at most
+    2**``MOST`` bits (64 MB broadcast): beyond some 50 million keys a larger
+    share of rows passes, but the memory stays.
     """
 
-    SHIFTS = (0, 19, 38)
+    TURNS = (0, 21, 42)
+    PER_KEY, LEAST, MOST = 10, 16, 29
 
     def __init__(self, table: np.ndarray, bits: int):
         self.table, self.bits = table, bits
 
     @classmethod
-    def of(cls, keys: DataFrame, column: str, bits: int = 23) -> Bloom:
-        """Built by a distributed OR; at most 2**(bits-6) words reach the driver."""
-        mask = (1 << bits) - 1
-        position = F.explode(
-            F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(mask)) for s in cls.SHIFTS])
-        )
+    def of(cls, keys: DataFrame, column: str) -> Bloom:
+        """Built by a distributed OR; what reaches the driver is as large as the filter at most."""
+        keys = keys.where(F.col(column).isNotNull())
+        bits = min(cls.MOST, max(cls.LEAST, (cls.PER_KEY * keys.count()).bit_length()))
+        turned = [F.col(column)] + [
+            F.shiftrightunsigned(F.col(column), s).bitwiseOR(F.shiftleft(F.col(column), 64 - s)) for s in cls.TURNS[1:]
+        ]
+        position = F.explode(F.array(*[t.bitwiseAND(F.lit((1 << bits) - 1)) for t in turned]))
         found = (
-            keys.where(F.col(column).isNotNull())
-            .select(position.alias("p"))
+            keys.select(position.alias("p"))
             .select(
                 F.shiftright("p", 6).cast("int").alias("w"),
                 F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("m"),
@@ -338,9 +362,9 @@ class Bloom:
         mask = np.uint64((1 << self.bits) - 1)
         hit = np.ones(len(hashes), bool)
         live = None
-        for s in self.SHIFTS:
+        for s in self.TURNS:
             h = hashes if live is None else hashes[live]
-            p = (h >> np.uint64(s)) & mask
+            p = ((h >> np.uint64(s)) | (h << np.uint64(64 - s)) if s else h) & mask
             ok = (self.table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             if live is None:
                 hit = ok
@@ -362,9 +386,9 @@ def split_by(docs: DataFrame, keys: DataFrame, by: list) -> tuple[DataFrame, Dat
     (name,) = keys.columns
     spark = docs.sparkSession
     small_batches(spark)
-    bloom = spark.sparkContext.broadcast(Bloom.of(keys, name, bits=25))
+    bloom = spark.sparkContext.broadcast(Bloom.of(keys, name))
     names = docs.columns
-    tagged = docs.select("*", F.xxhash64(*by).alias("__h"))
+    tagged = docs.select("*", F.xxhash64(*by).alias(fresh(names, "h")))
 
     def part(inside: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +396,7 @@ def split_by(docs: DataFrame, keys: DataFrame, by: list) -> tuple[DataFrame, Dat
                 hit = bloom.value.test(unsigned(batch.column(len(names)).to_numpy(zero_copy_only=False)))
                 kept = batch.filter(pa.array(hit == inside))
                 yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names=names)
+            release()
 
         return tagged.mapInArrow(run, docs.schema)
 
@@ -382,5 +407,6 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``ids`` (one column doc_id, null being an id); all columns stay."""
     ids = cut(ids.distinct())
     maybe, kept = split_by(docs, ids.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")), [F.col("doc_id").cast("long")])
-    gone = ids.select(F.col("doc_id").alias("__gone"))
-    return kept.unionByName(maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti"))
+    name = fresh(docs.columns, "gone")
+    gone = ids.select(F.col("doc_id").alias(name))
+    return kept.unionByName(maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti"))

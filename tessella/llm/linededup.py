@@ -207,7 +207,7 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = Fal
         .select("hi", "lo", "kept")
     )
     shared = written(shared, "units")
-    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(shared, "hi", bits=25))
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(shared, "hi"))
 
     def occur():
         hasher = UnitHash(min_words, lines)

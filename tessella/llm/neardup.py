@@ -309,7 +309,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = written(pairs, "pairs")
     first = cut(first)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(first.select(F.explode(F.array("node", "centre")).alias("node")))
-    wanted = spark.sparkContext.broadcast(Bloom.of(ends.distinct().select(F.xxhash64("node").alias("h")), "h", bits=25))
+    wanted = spark.sparkContext.broadcast(Bloom.of(ends.distinct().select(F.xxhash64("node").alias("h")), "h"))
 
     def make():
         hasher = TextHash()

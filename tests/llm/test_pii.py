@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,40 +51,64 @@ def corpus():
     return texts
 
 
+def least_share(n, of):
+    p = min(1.0, n / of)
+    return (p + 0.5 / of - math.sqrt(p * (1 - p) / of + 0.25 / of**2)) / (1 + 1 / of)
+
+
+def entities(t):
+    return [(a, k, I._entity(k, t[a:b])) for a, k, b in plain(t)]
+
+
 def brute_terms(texts):
+    """{(entity, or None for any document, word): disclosure}."""
     n, entity, term, joint = len(texts), {}, {}, {}
-    for t in texts:
+    for doc, t in enumerate(texts):
         spans = plain(t)
         words = [(m.start(), m[0].lower()) for m in TERM.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        every = {m[0].lower() for m in TERM.finditer(t)}
-        for w in every:
+        for w in {m[0].lower() for m in TERM.finditer(t)}:
             term[w] = term.get(w, 0) + 1
         es, ps = set(), set()
-        for a, k, b in spans:
-            e = I._entity(k, t[a:b])
+        for a, _, e in entities(t):
             es.add(e)
             i = sum(s < a for s, _ in words)
             ps |= {(e, w) for _, w in words[max(0, i - I.WINDOW) : i + I.WINDOW]}
         for e in es:
             entity[e] = entity.get(e, 0) + 1
         for p in ps:
-            joint.setdefault(p, set()).add(t)
+            joint.setdefault(p, []).append(t)
     out = {}
     for (e, w), ts in joint.items():
-        if len(ts) >= I.MIN_TEXTS and entity[e] < n:
-            d = min(1.0, math.log2(len(ts) * n / (entity[e] * term[w])) / -math.log2(entity[e] / n))
-            if d >= I.GENERALISE:
-                out[w] = max(out.get(w, 0), d)
+        if entity[e] == n:
+            continue
+        p = least_share(len(ts), term[w])
+        d = min(1.0, 1 + math.log2(p) / -math.log2(entity[e] / n))
+        if d >= I.GENERALISE:
+            out[e, w] = d
+            if p >= I.CERTAIN and len(set(ts)) >= I.TEXTS:
+                out[None, w] = max(out.get((None, w), 0), d)
     return out
 
 
+def brute_spans(t, terms):
+    base = plain(t)
+    es = {None, *(e for _, _, e in entities(t))}
+    free = [m for m in TERM.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+    return sorted(base + [(m.start(), 4, m.end()) for m in free if any((e, m[0].lower()) in terms for e in es)])
+
+
 def test_disclosing_terms_match_brute_force(make_docs):
     texts = corpus()
     want = brute_terms(texts)
-    assert "zanzibarski" in want and "plumbers" not in want
-    hasher = TermHash(I.MIN_TERM)
-    got = {r["term"]: r["disclosure"] for r in I.disclosing_terms(make_docs(texts)).collect()}
-    hashed = {int(signed(hasher.many([w])[0][2])[0]): d for w, d in want.items()}
+    words = {w for _, w in want}
+    assert (None, "zanzibarski") in want and "plumbers" not in words
+    hasher, memo = TermHash(I.MIN_TERM), I.WordHash()
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in I.disclosing_terms(make_docs(texts)).collect()}
+
+    def number(x):
+        return int(signed(np.array([x], np.uint64))[0])
+
+    hashed = {(0 if e is None else number(memo[e]), int(signed(hasher.many([w])[0][2])[0])): d for (e, w), d in want.items()}
     assert got.keys() == hashed.keys() and all(abs(got[k] - d) < 1e-9 for k, d in hashed.items())
 
 
@@ -103,14 +128,15 @@ def test_query(make_docs):
     rows = {r["doc_id"]: r for r in I.op1(make_docs(texts)).collect()}
     assert len(rows) == len(texts)
     names = [*I.KINDS, "term"]
-    terms = brute_terms(texts[:-1])
+    terms = brute_terms([t or "" for t in texts])
     for i, t in enumerate(texts):
         base = plain(t or "")
         joined = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base)
         assert rows[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [rows[i][f"n_{k}"] for k in I.KINDS] == [sum(x == j for _, x, _ in base) for j in range(4)]
-        found = [(m.start(), 4, m.end()) for m in TERM.finditer(t or "") if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, _, b in base)]
-        assert rows[i]["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + found))
+        every = brute_spans(t or "", terms)
+        assert rows[i]["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in every)
+        assert rows[i]["n_private"] == len(every) and rows[i]["n_term"] == len(every) - len(base)
 
 
 def test_sanitised_texts(make_docs):
@@ -134,10 +160,38 @@ def test_odd_rows(odd_docs, empty_docs):
 def test_a_value_that_occurs_once_is_disclosed_by_its_rare_terms(make_docs):
     common = "alpha bravo gamma"
     texts = [f"{common} {prose(k, 20)}" for k in range(200)] + [f"{common} zanzibarski ann@corp.example {common}"]
-    texts += [f"{common} beside zanzibarski", f"{common} +1 (456) 555-2186 quetzalcoat"]
+    texts += [f"{common} beside zanzibarski", f"{common} +1 (456) 555-2186 quetzalcoat", f"{common} quagmirist bob@corp.example {prose(7, 99)} quagmirist"]
     rows = {r["doc_id"]: r for r in I.op1(make_docs(texts)).collect()}
-    assert rows[200]["n_term"] == 1 and rows[201]["n_term"] == 1 and rows[202]["n_term"] == 1
-    assert all(rows[k]["n_term"] == 0 for k in range(200))
+    terms = brute_terms(texts)
+    for k, t in enumerate(texts):
+        assert rows[k]["n_term"] == len(brute_spans(t, terms)) - len(plain(t)), k
+    # far from the value too, but not in documents without it: one text is no proof
+    assert rows[200]["n_term"] == 1 and rows[202]["n_term"] == 1
+    assert rows[203]["spans"].endswith(f"term:{len(texts[203]) - 10}:{len(texts[203])}")
+    assert all(rows[k]["n_term"] == 0 for k in (*range(200), 201))
     clean = {r["doc_id"]: r["text"] for r in I.sanitise(make_docs(texts)).collect()}
-    assert not any("zanzibarski" in clean[k] or "quetzal" in clean[k] for k in (200, 201, 202))
+    assert not any("zanzibarski" in clean[k] or "quetzal" in clean[k] or "quagmir" in clean[k] for k in (200, 202, 203))
+    assert clean[201] == texts[201]
     assert clean[200].startswith(common) and clean[200].endswith(common)
+
+
+def test_clashing_columns_nulls_and_repeats(spark, make_docs):
+    texts = corpus() + [None, "", corpus()[0]]
+    docs = make_docs(texts, ids=[None, *range(1, len(texts) - 1), None])
+    odd = {"found": "1", "doc": "2", "key": "3", "h": "4", "d": "5", "k": "6", "n": "7", "gone": "8"}
+    wide = docs.selectExpr("*", *[f"'{v}' AS {c}" for c, v in odd.items()])
+    rows = I.sanitise(wide).collect()
+    assert I.sanitise(wide).columns == wide.columns and len(rows) == len(texts)
+    assert all(r[c] == v for r in rows for c, v in odd.items())
+    assert sorted(str(r["text"]) for r in rows) == sorted(str(r["text"]) for r in I.sanitise(docs).collect())
+    assert len(I.op1(wide).collect()) == len(texts)
+
+
+def test_empty_table(empty_docs):
+    assert I.sanitise(empty_docs).collect() == [] and I.disclosing_terms(empty_docs).collect() == []
+
+
+def test_a_very_long_text(make_docs):
+    text = prose(1, 60_000) + " ann@corp.example " + prose(2, 60_000)
+    (row,) = [r for r in I.op1(make_docs([text, prose(3, 50), prose(4, 50)])).collect() if r["doc_id"] == 0]
+    assert row["n_email"] == 1
