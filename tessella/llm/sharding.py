@@ -71,6 +71,16 @@ def _feistel(v: Column, a: int, b: int, seed: int) -> Column:
     return F.transform(F.array(end), lambda s: s["r"] * F.lit(a).cast("long") + s["l"])[0]
 
 
+def _walked(v: Column, n: int, a: int, b: int, seed: int) -> Column:
+    """``v``, sent through the network again until it lies in [0, n)."""
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)), v, lambda v, _: F.when(v < n, v).otherwise(_feistel(v, a, b, seed))
+    )
+    return F.transform(
+        F.array(walked), lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    )[0]
+
+
 def permuted(row: Column, n: int, seed: int) -> Column:
     """The image of ``row`` under the permutation of [0, n).
 
@@ -80,14 +90,26 @@ def permuted(row: Column, n: int, seed: int) -> Column:
     error instead of getting a wrong place).
     """
     a, b = domain(n)
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)),
-        _feistel(row, a, b, seed),
-        lambda v, _: F.when(v < n, v).otherwise(_feistel(v, a, b, seed)),
-    )
-    return F.transform(
-        F.array(walked), lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
-    )[0]
+    return _walked(_feistel(row, a, b, seed), n, a, b, seed)
+
+
+def placed(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """``rows`` with ``v``, the image of ``row``: the same numbers as ``permuted``.
+
+    The first pass through the network is plain arithmetic, which Spark
+    compiles; only the few rows that leave [0, n) walk on in a lambda.
+    """
+    a, b = domain(n)
+    names = rows.columns
+    out = rows.withColumns({"l": F.col("row") % F.lit(a).cast("long"), "r": F.call_function("div", F.col("row"), F.lit(a).cast("long"))})
+    for i, (k, c) in enumerate(keys(seed)):
+        of, to, size = ("r", "l", a) if i % 2 == 0 else ("l", "r", b)
+        out = out.withColumn("y", (F.col(of) + c) % PRIME)
+        out = out.withColumn("y", (F.col("y") * F.col("y")) % PRIME)
+        out = out.withColumn(to, (F.col(to) + (F.col("y") * k + c) % PRIME) % F.lit(size).cast("long"))
+    out = out.withColumn("v", F.col("r") * F.lit(a).cast("long") + F.col("l"))
+    v = F.when(F.col("v") < n, F.col("v")).otherwise(_walked(F.col("v"), n, a, b, seed))
+    return out.select(*names, v.alias("v"))
 
 
 def row_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,10 +165,8 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20, id_col: str = "doc_i
     n = docs.count()
     if n == 0:
         n = 1
-    spot = permuted(F.col("row"), n, seed)
     return (
-        row_numbers(docs, id_col, text_col)
-        .withColumn("v", spot)
+        placed(row_numbers(docs, id_col, text_col), n, seed)
         .select(
             "doc_id", "size", "text_crc32", "row",
             (F.col("v") % shards).cast("int").alias("shard"),

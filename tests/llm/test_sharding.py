@@ -30,6 +30,8 @@ def test_permutation_is_a_bijection_and_matches_the_scalar_form(spark):
     for n in (1, 2, 3, 10, 97, 1000, 4096):
         got = [r["v"] for r in spark.range(n).select(S.permuted(F.col("id"), n, 20).alias("v")).collect()]
         assert sorted(got) == list(range(n))
+        rows = S.placed(spark.range(n).withColumnRenamed("id", "row"), n, 20).collect()
+        assert [r["v"] for r in sorted(rows)] == got
         if n <= 1000:
             assert got == [feistel(i, n, 20) for i in range(n)]
 
