@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import release, small_batches
 
 TIERS = (2048, 1024, 512, 256)
 EOS = 1
@@ -49,25 +49,26 @@ def byte_bpe(path: str):
     """An encoder with the ids of the byte-level BPE file ``path`` (JSON of a fast tokenizer).
 
     The vocabulary is read as ranks and run by a faster BPE engine; tests hold
-    the ids against the file's own library.  Texts of special tokens count as
-    ordinary text.
+    the ids against the file's own library.  Like there, the text of an added
+    token is that token wherever it stands.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
     # the usual printable stand-ins for bytes
     kept = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(b): b for b in kept}
     byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(kept))}
-    ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items() if all(c in byte for c in piece) and not piece.startswith("<|")}
-    engine = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items() if piece not in added and all(c in byte for c in piece)}
+    engine = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        return np.asarray(engine.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+        return np.asarray(engine.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
 
     return encode
 
@@ -213,6 +214,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[int, ...]
                 if held >= block_tokens:
                     yield from flush(False)
         yield from flush(True)
+        release()
 
     return rows.mapInArrow(run, SCHEMA)
 
