@@ -1,11 +1,12 @@
 """Substring deduplication by hashing normalised units.
 
-A unit starts at every line start, after every mark (full stop, comma and the
-like, with white space, between two words), and at a capitalised word that
-follows an unmarked word (a passage pasted into running text); it ends at the
-first mark or line end that gives it at least ``MIN_WORDS`` words.  So units
-overlap, and a repeated passage is found wherever it stands.  Beside these,
-every whole line that has a word is a unit, whatever its length.
+Every whole line that has a word is a unit, whatever its length; with line ends
+between paragraphs only, these are the paragraphs.  Lines alone miss a passage
+that stands inside another line, so sentences of at least ``min_words`` words
+are units too (a parameter; None for lines alone): such a unit starts at every
+line start, after every mark (full stop, comma and the like, with white space,
+between two words), and at a capitalised word that follows an unmarked word; it
+ends at the first mark or line end that gives it enough words.
 Units are normalised (lower case, words only) and hashed to 128 bits.  Over
 the whole table each digest keeps its earliest occurrence, by document id and
 then offset; all others are removed, as spans of the original text.
@@ -22,26 +23,32 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, map_rows, mix, signed, small_batches, written
+from tessella.llm.common import Bloom, fresh, map_rows, mix, release, signed, small_batches, written
 
 MIN_WORDS = 8
+#: Words of a run of removed units from which it counts as a passage.
+PASSAGE_WORDS = 25
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _SALT = np.uint64(0xA0761D6478BD642F)
 _LINE = np.uint64(0xE7037ED1A0B428DB)
 _LATE = (1 << 63) - 1
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 class Units(NamedTuple):
-    """Units of several texts, by text and start, lines last: number of the text, offsets, 128-bit digest."""
+    """Units of several texts, by text and start, lines last: number of the text, offsets, 128-bit digest, words [a, b)."""
 
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hi: np.ndarray
     lo: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
 
 
 class UnitHash:
@@ -52,8 +59,8 @@ class UnitHash:
     text cost one pass, however they overlap.
     """
 
-    def __init__(self, min_words: int = MIN_WORDS, lines: bool = False):
-        self.min_words, self.lines = min_words, lines
+    def __init__(self, min_words: int | None = MIN_WORDS, lines: bool = False):
+        self.min_words, self.lines = 1 << 60 if min_words is None else min_words, lines
         n = 0x110000
         self.word, self.space, self.upper = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
         low = np.arange(n, dtype=np.int64)
@@ -99,7 +106,7 @@ class UnitHash:
             edge = np.concatenate([[0], edge])
         start, end = edge[::2], edge[1::2]
         if not len(start):
-            return Units(*[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)])
+            return Units(*[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)])
         # words
         size = end - start
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -152,7 +159,8 @@ class UnitHash:
             d = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
             d[clauses:] = mix(d[clauses:] ^ _LINE)  # lines equal only lines
             out.append(d)
-        return Units(*out)
+        before = np.searchsorted(start, base)  # words of the texts before
+        return Units(*out, a - before, b - before)
 
 
 def repeats(u: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -174,18 +182,19 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
-    """(doc_id, start, end, kept_doc_id): every unit occurrence that is not its digest's earliest.
+def removed_units(docs: DataFrame, min_words: int | None = MIN_WORDS, lines: bool = False) -> DataFrame:
+    """(doc_id, start, end, kept_doc_id, a, b): every unit occurrence that is not its digest's earliest.
 
-    With ``lines``, whole lines of any length are units beside those of at least ``min_words`` words.
-
-    Offsets are code points of the original text, end exclusive.  The earliest
-    occurrence is that of the lowest id (a null id comes last), then the lowest
-    start.  Rows of one id are one document: repeated rows get equal decisions.
-    Null and empty texts have no units; other columns are ignored.
+    With ``lines``, whole lines of any length are units beside sentences of at
+    least ``min_words`` words.  Offsets are code points of the original text,
+    end exclusive; a and b count words alike.  The earliest occurrence is that
+    of the lowest id (a null id comes last), then the lowest start.  Rows of
+    one id are one document: repeated rows get equal decisions.  Texts without
+    words have no units; other columns are ignored; an empty table gives none.
     """
     small_batches(docs.sparkSession)
     rows = _rows(docs)
+
     def gathered(parts: list[dict[str, np.ndarray]], names: tuple[str, ...]) -> dict[str, np.ndarray]:
         return {n: np.concatenate([p[n] for p in parts]) if parts else [] for n in names}
 
@@ -219,64 +228,90 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = Fal
                 first, again = repeats(u)
                 at = np.flatnonzero(again | (first & bloom.value.test(u.hi))) if len(u.hi) else np.empty(0, np.int64)
                 hi, lo, once = signed(u.hi[at]), signed(u.lo[at]), again[at]
-                parts.append({"hi": hi, "lo": lo, "doc": ids[u.text[at]], "start": u.start[at], "end": u.end[at], "again": once})
-            return gathered(parts, ("hi", "lo", "doc", "start", "end", "again"))
+                parts.append({"hi": hi, "lo": lo, "doc": ids[u.text[at]], "start": u.start[at], "end": u.end[at], "a": u.a[at], "b": u.b[at], "again": once})
+            return gathered(parts, ("hi", "lo", "doc", "start", "end", "a", "b", "again"))
 
         return step
 
     # read twice below
-    found = written(map_rows(rows, occur, "hi long, lo long, doc long, start int, end int, again boolean"), "occurrences")
-    spans = found.where(~F.col("again")).join(shared, ["hi", "lo"]).where("doc > kept").select("doc", "start", "end", "kept")
-    local = found.where("again").select("doc", "start", "end", F.col("doc").alias("kept"))
+    found = written(map_rows(rows, occur, "hi long, lo long, doc long, start int, end int, a int, b int, again boolean"), "occurrences")
+    place = ["start", "end", "a", "b"]
+    spans = found.where(~F.col("again")).join(shared, ["hi", "lo"]).where("doc > kept").select("doc", *place, "kept")
+    local = found.where("again").select("doc", *place, F.col("doc").alias("kept"))
     ids = [F.when(F.col(c) != _LATE, F.col(c)).alias(n) for c, n in (("doc", "doc_id"), ("kept", "kept_doc_id"))]
-    return spans.unionByName(local).select(ids[0], "start", "end", ids[1])
+    return spans.unionByName(local).select(ids[0], "start", "end", ids[1], "a", "b")
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Spans that overlap or touch as one; they come by start."""
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return list(zip(start[new].tolist(), np.append(reach[new[1:] - 1], reach[-1]).tolist()))
 
 
-def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each document that loses text: doc_id, n_units, spans (array of start, end, merged), n_chars, kept_docs."""
+def removed_spans(docs: DataFrame, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """One row for each document that loses text.
+
+    doc_id, n_units, spans (array of start, end, merged), n_chars, kept_docs,
+    n_passages (runs of at least ``PASSAGE_WORDS`` words without one that
+    stays).  Nulls, ties, repeats and other columns are as for ``removed_units``.
+    """
     one = removed_units(docs, min_words, lines=True).groupBy("doc_id").agg(
-        F.countDistinct("start", "end").alias("n_units"),
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("all"),
+        F.sort_array(F.collect_set(F.struct("start", "end", "a", "b"))).alias("all"),
         F.sort_array(F.collect_set("kept_doc_id")).alias("kept_docs"),
     )
-    merged = F.aggregate(
-        "all",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["start"] <= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(
-                    F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
-                    F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"),
-                )),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    one = one.withColumn("spans", merged)
-    n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return one.select("doc_id", "n_units", "spans", n.alias("n_chars"), "kept_docs")
-
-
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text`` and a column ``removed_spans`` of their original offsets."""
-    spans = removed_spans(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("removed_spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, every = batch.column(1), batch.column(1).flatten()
+            start, end, a, b = (every.field(k).to_numpy() for k in range(4))
+            edge = np.concatenate([[0], np.cumsum(units.value_lengths().to_numpy())])
+            spans, passages = [], []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                spans.append([{"start": x, "end": y} for x, y in merged(start[lo:hi], end[lo:hi])])
+                passages.append(sum(y - x >= PASSAGE_WORDS for x, y in merged(a[lo:hi], b[lo:hi])))
+            n = [sum(x["end"] - x["start"] for x in xs) for xs in spans]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(edge)), pa.array(spans, _SPANS), pa.array(n, pa.int64()), batch.column(2), pa.array(passages, pa.int64())],
+                names=["doc_id", "n_units", "spans", "n_chars", "kept_docs", "n_passages"],
+            )
+
+    return one.select("doc_id", "all", "kept_docs").mapInArrow(
+        run, "doc_id long, n_units long, spans array<struct<start:int,end:int>>, n_chars long, kept_docs array<long>, n_passages long"
+    )
+
+
+def deduplicate(docs: DataFrame, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated units cut out of ``text`` and a column ``removed_spans`` of their original offsets.
+
+    A column of that name is replaced; all others stay, whatever their names.
+    Null and empty texts stay as they are; rows of one id share their spans, so
+    they are taken as repeated rows (a span beyond a shorter text cuts nothing).
+    """
     kept = [c for c in docs.columns if c != "removed_spans"]
-    joined = docs.select(*kept).join(spans, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    doc, text = fresh(docs.columns, "doc"), kept.index("text")
+    spans = removed_spans(docs, min_words).select(F.col("doc_id").alias(doc), F.col("spans").alias("removed_spans"))
+    joined = docs.select(*kept).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
     no = F.array().cast("array<struct<start:int,end:int>>")
-    joined = joined.withColumn("removed_spans", F.coalesce("removed_spans", no))
-    cut = F.aggregate(
-        "removed_spans",
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(
-            F.concat(acc["t"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])).alias("t"), x["end"].alias("at")
-        ),
-        lambda acc: F.concat(acc["t"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return joined.withColumn("text", F.when(F.size("removed_spans") == 0, F.col("text")).otherwise(cut)).select(*kept, "removed_spans")
+    joined = joined.select(*kept, F.coalesce("removed_spans", no).alias("removed_spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, cuts in zip(batch.column(text).to_pylist(), batch.column(len(kept)).to_pylist()):
+                if t and cuts:
+                    at = [0, *(x for s in cuts for x in (s["start"], s["end"])), len(t)]
+                    t = "".join(t[a:b] for a, b in zip(at[::2], at[1::2]))
+                out.append(t)
+            cols = batch.columns
+            cols[text] = pa.array(out, cols[text].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        release()
+
+    return joined.mapInArrow(run, joined.schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     kept = F.array_join(F.transform("kept_docs", lambda k: k.cast("string")), ",")
-    return removed_spans(docs).select("doc_id", "n_units", "n_chars", spans.alias("spans"), kept.alias("kept_docs"))
+    return removed_spans(docs).select("doc_id", "n_units", "n_chars", spans.alias("spans"), kept.alias("kept_docs"), "n_passages")

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,8 +73,9 @@ def test_units_equal_the_plain_form(texts, min_words):
     seen = {}
     got = [[] for _ in texts]
     for u in hasher.many([*texts, None], limit=50):
-        for t, a, b, hi, lo in zip(*(x.tolist() for x in u)):
+        for t, a, b, hi, lo, i, j in zip(*(x.tolist() for x in u)):
             got[t].append((a, b, (hi, lo)))
+            assert len(re.findall(r"\w+", texts[t][:a])) == i and len(re.findall(r"\w+", texts[t][a:b])) == j - i
     for g, t in zip(got, texts):
         want = units(t, min_words)
         assert [x[:2] for x in g] == [x[:2] for x in want]
@@ -160,3 +162,38 @@ def test_whole_lines_match_brute_force(make_docs):
     for r in L.removed_units(make_docs(texts).repartition(3), 10**6, lines=True).collect():
         got.setdefault(r["doc_id"], set()).add((r["start"], r["end"]))
     assert got == want
+
+
+def test_passages_are_told_from_short_lines(make_docs):
+    texts = [PASSAGE + "\n" + prose(1, 30), "x\n" + PASSAGE + "\n" + prose(2, 30), prose(1, 30) + "\nx", "x"]
+    rows = {r["doc_id"]: r["n_passages"] for r in L.op9(make_docs(texts)).collect()}
+    assert rows == {1: 1, 2: 1, 3: 0}
+
+
+def test_merged_spans_match_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        start = np.sort(rng.integers(0, 60, 12))
+        end = start + rng.integers(1, 9, 12)
+        inside = np.zeros(80, bool)
+        for a, b in zip(start, end):
+            inside[a:b] = True
+        got = L.merged(start, end)
+        assert sum(b - a for a, b in got) == inside.sum() and all(inside[a:b].all() for a, b in got)
+        assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
+
+
+def test_lines_alone(make_docs):
+    texts = [PASSAGE, "before " + PASSAGE, "x\n" + PASSAGE, "x"]
+    rows = {r["doc_id"]: r["removed_spans"] for r in L.deduplicate(make_docs(texts), min_words=None).collect()}
+    assert [len(rows[k]) for k in range(4)] == [0, 0, 1, 1]
+
+
+def test_clashing_columns_nulls_and_repeats(make_docs, empty_docs):
+    texts = [PASSAGE, PASSAGE, None, "", PASSAGE, prose(3, 20)]
+    docs = make_docs(texts, ids=[1, 2, 3, 4, 2, None]).selectExpr("*", "'a' AS doc", "'b' AS doc_", "'c' AS removed_spans", "'d' AS spans", "'e' AS kept", "'f' AS `all`")
+    out = L.deduplicate(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "removed_spans"), "removed_spans"]
+    rows = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(map(str, rows)) == sorted(map(str, [(1, PASSAGE), (2, "."), (2, "."), (3, None), (4, ""), (None, texts[5])]))
+    assert L.deduplicate(empty_docs).collect() == []
