@@ -1,7 +1,8 @@
 """Toxicity scoring behind a noisy channel.
 
-Writers disguise words by look-alike signs, spacing and repetition.  A
-character lattice holds the readings of each disguised token: a sign stands for
+Writers disguise words by look-alike signs, spacing and repetition, and by
+other forms of letters (full width, mathematical, circled) and invisible
+characters, which are undone first.  A character lattice holds the readings of each disguised token: a sign stands for
 itself or a letter it looks like, a gap between single letters is kept or
 dropped, a run of one letter is kept or shortened.  Viterbi decoding under a
 character 4-gram model of the whole corpus, with a cost for each channel
@@ -17,12 +18,13 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import TextHash, bounded_sample, held_out, map_rows, mix, shingles, signed, small_batches, written
+from tessella.llm.common import TextHash, bounded_sample, held_out, map_rows, mix, release, shingles, signed, small_batches, written
 
 #: Bound of the labelled sample that lexicon and calibration are fitted on, for each label.
 SAMPLE = 6000
@@ -39,10 +41,14 @@ LOOKALIKES = {
 SUBSTITUTE, DROP_GAP, SHORTEN, DOUBLED, DROP_SIGN = 0.7, 0.4, 0.3, 0.8, 1.0
 
 ALPHABET = 28  # edge, a to z, other
-_SIGNS = re.escape("".join(LOOKALIKES))
 _WORD = re.compile(r"\w+")
-_SPACED = re.compile(r"[^\W_](?:[ ._*\-]{1,2}[^\W_](?![^\W_])){2,60}+")
-_TOKEN_SIDE = 100
+_SPACED = re.compile(r"[^\W_](?:[ ._*\-]+[^\W_])+")
+#: Signs that can stand for a letter among letters set apart; the others are too often just marks.
+_APART = "".join(c for c in LOOKALIKES if c not in "!|+(")
+_CHAIN = re.compile(rf"(?:[^\W_]|[{re.escape(_APART)}])(?:[ ._*\-]+(?:[^\W_]|[{re.escape(_APART)}]))+")
+#: Signs of which one in three in a row makes a token worth decoding that has no letter; numbers have none.
+_STRONG = "@$€£¡"
+_MEMO_TOKEN = 64
 
 
 def fold(c: str) -> int:
@@ -53,7 +59,29 @@ def fold(c: str) -> int:
     return k if 1 <= k <= 26 else 27
 
 
-LETTER, SIGN, GAP, BANG = 1, 2, 4, 8
+@cache
+def _plain_forms() -> dict[int, str | None]:
+    """Other forms of letters, digits and look-alike signs -> the plain one; invisible characters and overlays -> nothing."""
+    out: dict[int, str | None] = {c: None for c in range(0x300, 0x370)}
+    for c in range(0x80, 0x20000):
+        x = chr(c)
+        kind = unicodedata.category(x)
+        if kind == "Cf":
+            out[c] = None
+        elif kind not in ("Cn", "Cs", "Co"):
+            y = unicodedata.normalize("NFKC", x).lower()
+            if y.isascii() and all(z.isalnum() or z in LOOKALIKES for z in y):
+                out[c] = y
+    return out
+
+
+def plain(text: str) -> str:
+    """Lower case, with other forms of characters made plain."""
+    low = text.lower()
+    return low if low.isascii() else low.translate(_plain_forms())
+
+
+LETTER, SIGN, GAP, BANG, APART, STRONG = 1, 2, 4, 8, 16, 32
 
 
 class Folder:
@@ -66,7 +94,7 @@ class Folder:
             if not 0xD800 <= c < 0xE000:
                 x = chr(c)
                 self.table[c] = fold(x)
-                self.kind[c] = LETTER * x.isalpha() | SIGN * (x in LOOKALIKES) | GAP * (x in " ._*-") | BANG * (x == "!")
+                self.kind[c] = LETTER * x.isalpha() | SIGN * (x in LOOKALIKES) | GAP * (x in " ._*-") | BANG * (x == "!") | APART * (x.isalpha() or x in _APART) | STRONG * (x in _STRONG)
 
     @staticmethod
     def points(text: str) -> np.ndarray:
@@ -106,6 +134,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(((c[:-3] * a + c[1:-2]) * a + c[2:-1]) * a + c[3:], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["g", "n"])
+        release()
 
     def _joined(texts, limit=1 << 21):
         """Texts with white space around them, several at a time."""
@@ -128,6 +157,14 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+class _Codes(dict):
+    """Folded codes, remembered."""
+
+    def __missing__(self, c: str) -> int:
+        k = self[c] = fold(c)
+        return k
+
+
 class Decoder:
     """Viterbi decoding of disguised tokens."""
 
@@ -135,12 +172,13 @@ class Decoder:
         self.cost = model.cost
         self.disguise = Disguise()
         self.memo: dict[str, str] = {}
+        self.code = _Codes().__getitem__
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each position, the readings (text, channel cost) of a character or run."""
         out: list[list[tuple[str, float]]] = []
         i, n = 0, len(token)
-        single = bool(re.fullmatch(r"[^\W_](?:[ ._*\-]{1,2}[^\W_])+", token))
+        single = bool(_SPACED.fullmatch(token)) or bool(_CHAIN.fullmatch(token))
         while i < n:
             c = token[i]
             j = i
@@ -164,27 +202,37 @@ class Decoder:
         return out
 
     def decode(self, token: str) -> str:
+        """The likeliest reading of a whole token; equal costs go to the reading that comes first in the lattice.
+
+        Linear in the token: a state keeps its last reading and where it came from.
+        """
         if token in self.memo:
             return self.memo[token]
-        a = ALPHABET
-        beam: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+        a, costs = ALPHABET, self.cost
+        beam: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for reads in [*self.lattice(token), [(" ", 0.0)]]:
-            after: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for (x, y, z), (cost, text) in beam.items():
-                for read, extra in reads:
-                    p, q, r, total = x, y, z, cost + extra
-                    for c in read:
-                        k = fold(c)
-                        total += float(self.cost[((p * a + q) * a + r) * a + k])
-                        p, q, r = q, r, k
-                    state = (p, q, r)
-                    if state not in after or (total, text + read) < after[state]:
-                        after[state] = (total, text + read)
+            coded = [(read, extra, [self.code(c) for c in read]) for read, extra in reads]
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (cost, path) in beam.items():
+                for read, extra, codes in coded:
+                    s, total = state, cost + extra
+                    for k in codes:
+                        at = s * a + k
+                        total += float(costs[at])
+                        s = at % (a * a * a)
+                    if s not in after or total < after[s][0]:
+                        after[s] = (total, (path, read) if read else path)
             beam = after
-        best = min(beam.values())[1].strip()
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[token] = best
+        _, path = min(beam.values(), key=lambda x: x[0])
+        parts = []
+        while path is not None:
+            path, read = path
+            parts.append(read)
+        best = "".join(reversed(parts)).strip()
+        if len(token) <= _MEMO_TOKEN:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[token] = best
         return best
 
 
@@ -194,8 +242,25 @@ class Disguise:
     def __init__(self) -> None:
         self.folder = Folder()
 
+    @staticmethod
+    def _chains(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of three or more characters apart, two letters at least, with nothing but gaps between them."""
+        unit = np.concatenate([[False], (kind & APART) > 0, [False]])
+        edge = np.flatnonzero(unit[1:] != unit[:-1])
+        start, end = edge[::2], edge[1::2]
+        one = end - start == 1
+        if one.sum() < 3:
+            return start[:0], start[:0]
+        other = np.concatenate([[0], np.cumsum((kind & GAP) == 0)])
+        tied = one[1:] & one[:-1] & (other[start[1:]] == other[end[:-1]])
+        ends = np.diff(np.concatenate([[0], tied.astype(np.int8), [0]]))
+        first, last = np.flatnonzero(ends == 1), np.flatnonzero(ends == -1)
+        letters = np.concatenate([[0], np.cumsum((kind[start] & LETTER) > 0)])
+        good = (last - first >= 2) & (letters[last + 1] - letters[first] >= 2)
+        return start[first[good]], end[last[good]]
+
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """In order, without overlaps, each of bounded length; linear in the text."""
+        """In order, without overlaps; whole chains and tokens, however long; linear in the text."""
         cp = self.folder.points(text)
         if len(cp) < 3:
             return []
@@ -209,29 +274,26 @@ class Disguise:
             core[:-3] |= twice[2:] & twice[:-2]
         # a look-alike beside a letter; an exclamation mark only in front of one
         core[:-1] |= (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:] & ((kind[1:] & BANG) == 0))
+        # look-alikes alone
+        strong = (kind & STRONG) > 0
+        core[:-2] |= sign[:-2] & sign[1:-1] & sign[2:] & (strong[:-2] | strong[1:-1] | strong[2:])
         # letters apart
         core[1:-1] |= letter[:-2] & gap[1:-1] & (cp[1:-1] != 32) & letter[2:]
-        alone = letter.copy()
-        alone[1:] &= ~letter[:-1]
-        alone[:-1] &= ~letter[1:]
-        chain = np.zeros(len(cp), bool)
-        for step in (2, 3):
-            if len(cp) > 2 * step:
-                between = gap[1 : len(cp) - 2 * step + 1] & gap[step + 1 : len(cp) - step + 1]
-                chain[: -2 * step] |= alone[: -2 * step] & alone[step:-step] & alone[2 * step :] & between
+        chains = dict(zip(*(x.tolist() for x in self._chains(kind))))
+        for p in chains:
+            core[p] = True
         out, done = [], 0
-        for p in np.flatnonzero(core | chain).tolist():
+        for p in np.flatnonzero(core).tolist():
             if p < done:
                 continue
-            m = _SPACED.match(text, p) if chain[p] else None
-            if m and m.end() - p <= 2 * _TOKEN_SIDE:
-                out.append((p, m.end()))
-                done = m.end()
+            if p in chains:
+                out.append((p, chains[p]))
+                done = chains[p]
                 continue
             a = b = p
-            while a > done and p - a < _TOKEN_SIDE and not text[a - 1].isspace():
+            while a > done and not text[a - 1].isspace():
                 a -= 1
-            while b < len(text) and b - p < _TOKEN_SIDE and not text[b].isspace():
+            while b < len(text) and not text[b].isspace() and b not in chains:
                 b += 1
             while a < b and not (kind[a] & (LETTER | SIGN)):
                 a += 1
@@ -247,7 +309,7 @@ def restored_words(text: str | None, decoder: Decoder) -> set[str]:
     """Distinct words of the text with disguised tokens restored; the written forms stay too."""
     if not text:
         return set()
-    low = text.lower()
+    low = plain(text)
     out = set(_WORD.findall(low))
     for a, b in decoder.disguise.spans(low):
         out.update(_WORD.findall(decoder.decode(low[a:b])))
@@ -255,10 +317,10 @@ def restored_words(text: str | None, decoder: Decoder) -> set[str]:
 
 
 def restore(text: str | None, decoder: Decoder) -> str | None:
-    """The text in lower case with disguised tokens restored."""
+    """The text in plain lower case with disguised tokens restored."""
     if text is None:
         return None
-    low, out, done = text.lower(), [], 0
+    low, out, done = plain(text), [], 0
     for a, b in decoder.disguise.spans(low):
         out += [low[done:a], decoder.decode(low[a:b])]
         done = b
@@ -314,7 +376,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     marks = bounded_sample(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", sample)
     marks = marks.select(F.col("doc_id").alias("__d"), "toxic")  # at most 2 * sample rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _one_of_each(rows.join(F.broadcast(marks), F.col("doc_id") == F.col("__d")).select("doc_id", "toxic", "text"))
+    rows = rows.join(F.broadcast(marks), F.col("doc_id") == F.col("__d"))
+    # one row an id, however often it is repeated, so the sample stays bounded
+    return _one_of_each(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
 def _one_of_each(sample: DataFrame) -> DataFrame:

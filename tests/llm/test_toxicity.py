@@ -91,11 +91,22 @@ def test_restores_disguised_words(decoder):
     assert X.restore(plain, decoder) == plain.lower()
 
 
-def test_spans_are_linear_and_bounded(decoder):
-    for t in ["a" * 200_000, "a1" * 100_000, "a b " * 50_000, "$" * 200_000, "a." * 100_000]:
+def test_spans_and_decoding_are_linear_and_whole(decoder):
+    for t in ["a" * 200_000, "a1" * 20_000, "a b " * 20_000, "$" * 200_000, "a." * 20_000, "4" * 200_000, "a\n" * 100_000]:
         spans = decoder.disguise.spans(t)
-        assert all(0 < b - a <= 2 * X._TOKEN_SIDE for a, b in spans)
         assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        for a, b in spans:
+            decoder.decode(t[a:b])
+    (chain,) = decoder.disguise.spans("x  " + " ".join("stupid" * 200) + "  yes")
+    assert chain == (0, 2 + 2 * 1200)
+
+
+def test_restores_other_disguises(decoder):
+    hidden = ["ｓｔｕｐｉｄ", "𝐬𝐭𝐮𝐩𝐢𝐝", "ⓢⓣⓤⓟⓘⓓ", "s\u200bt\u200bu\u200bp\u200bi\u200bd", "s   t   u   p   i   d", "s t u p 1 d", "5 t u p 1 d", "s̶t̶u̶p̶i̶d̶", "$tup1d", "(s t u p i d)"]
+    for h in hidden:
+        assert "stupid" in X.restored_words(f"he said {h} to me", decoder), h
+    # whatever the length of a token
+    assert X.restore("stup1d" * 60, decoder) == "stupid" * 60
 
 
 def test_odd_rows(spark, odd_docs, empty_docs, tables):
