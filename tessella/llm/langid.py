@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import bounded_sample, held_out, map_rows, small, small_batches
+from tessella.llm.common import bounded_sample, held_out, map_rows, release, small, small_batches
 
 PROFILE = 400
 #: Bound of the labelled sample that the profiles are fitted on, for each language.
@@ -184,7 +184,9 @@ def keep_known(docs: DataFrame, max_distance: float = 0.85) -> DataFrame:
 
     Rejected: no text, no letters, or a distance above ``max_distance`` to
     every profile, which only text in a script or language outside the learned
-    ones reaches.  The columns are those of ``docs``.
+    ones reaches; so does every row if there is nothing to learn from.  Null
+    ids and repeated rows are judged like any other; all columns stay, whatever
+    their names; an empty table stays empty.
     """
     spark = docs.sparkSession
     model = fit(docs)
@@ -200,6 +202,7 @@ def keep_known(docs: DataFrame, max_distance: float = 0.85) -> DataFrame:
         for batch in batches:
             got = (m.predict(grams.profile(t, m.size)) for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([g[0] != "und" and g[2] <= max_distance for g in got], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

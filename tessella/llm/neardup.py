@@ -6,8 +6,9 @@ arrival hits a random register, and a register keeps its earliest arrival.  Two
 texts agree in a register with the probability Jaccard similarity of their
 sets.  Repeats can push that far below the plain Jaccard similarity that
 decides, so a text with repeats is also searched with all weights 1, where
-registers agree with the plain one; without repeats both are the same.  Arrivals after the time at which all registers are taken cannot matter,
-so processes are stopped there; the stopping time is bounded beforehand and
+registers agree with the plain one; without repeats both are the same.
+Arrivals after the time at which all registers are taken cannot matter, so
+processes are stopped there; the stopping time is bounded beforehand and
 doubled in the rare case that a register stayed free.
 
 Equal texts are one node.  Registers are joined to ``BANDS`` bands of ``ROWS``;
@@ -32,16 +33,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Bloom, TextHash, cut, map_rows, mix, shingles, signed, small_batches, unsigned, without_ids, written
+from tessella.llm.common import (
+    Bloom, TextHash, cut, fresh, map_rows, mix, release, shingles, signed, small_batches, unsigned, without_ids, written,
+)
 
 WIDTH = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 42
 SMALL_BUCKET = 12
-BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 4_000_000, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4096
+#: Rows without id stand behind all ids: nodes from here on.
+NAMELESS = 1 << 62
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -149,10 +154,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- operator
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the id; a hash of the text for a null id), text."""
-    text = F.col("text").cast("string")
-    node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), text.alias("text"))
+    """doc_id, node, text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), F.col("text").cast("string").alias("text"))
+
+
+def _node() -> Column:
+    """The id; for a null id a hash of the text, from ``NAMELESS`` on."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text, F.lit(1)), 2) + F.lit(NAMELESS))
 
 
 def _signed_docs(rows: DataFrame) -> DataFrame:
@@ -283,50 +292,56 @@ def _large_links(large: DataFrame, label: DataFrame, sets: DataFrame, similarity
         both = pa.compute.count_distinct(table["block"]).as_py() == 2
         if p != q and not both:
             return table.select(["node", "label"]).rename_columns(["a", "b"]).slice(0, 0)
-        return _block_links(table, similarity)
+        found = _block_links(table, similarity)
+        release()
+        return found
 
     return dealt.join(sets, "node").groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs``.
-
-    The class is named by its lowest document id.  Texts without words are
-    classes of their own; texts of fewer than five words are one shingle.  Rows
-    of one id are one document; a row without id stands for its text.  Extra
-    columns are ignored; an empty table gives no rows.
-    """
+def _labels(docs: DataFrame, similarity: float) -> DataFrame:
+    """(node, label) of the nodes whose class is named by another node, its lowest."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = _rows(docs)
     signed_docs = written(_signed_docs(rows), "signatures")
+    # one text a node: of rows that share an id, the one with the lowest digest
+    text = signed_docs.groupBy("node").agg(F.min(F.struct("hi", "lo")).alias("t")).select("node", "t.hi", "t.lo")
+    text = cut(text)
     # materialised, so that the join below can split a text that has very many copies
-    same = cut(signed_docs.groupBy("hi", "lo").agg(F.min("node").alias("rep")))
-    member = cut(signed_docs.select("node", "hi", "lo").join(same, ["hi", "lo"]).select("node", "rep"))
+    same = cut(text.groupBy("hi", "lo").agg(F.min("node").alias("rep")))
+    member = cut(text.join(same, ["hi", "lo"]).select("node", "rep"))
     reps = signed_docs.join(same.select("hi", "lo", F.col("rep").alias("node")), ["hi", "lo", "node"], "left_semi")
-    reps = reps.dropDuplicates(["node", "hi", "lo"])
+    reps = reps.dropDuplicates(["node"])  # equal rows
     first, pairs, large = _candidates(reps.select(F.explode("keys").alias("key"), "node"))
     pairs = written(pairs, "pairs")
     first = cut(first)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(first.select(F.explode(F.array("node", "centre")).alias("node")))
-    wanted = spark.sparkContext.broadcast(Bloom.of(ends.distinct().select(F.xxhash64("node").alias("h")), "h"))
+    ends = cut(same.withColumnRenamed("rep", "node").join(ends.distinct(), "node", "left_semi"))
+    wanted = spark.sparkContext.broadcast(Bloom.of(ends.select(F.xxhash64("node").alias("h")), "h"))
 
     def make():
         hasher = TextHash()
 
         def step(cols):
-            out: dict[str, list] = {"node": [], "s": []}
+            out: dict[str, list] = {"node": [], "hi": [], "lo": [], "s": []}
             at = np.flatnonzero(wanted.value.test(unsigned(cols["h"])))
             for k, h in zip(at, hasher.many([cols["text"][k] for k in at])):
                 if len(h):
+                    d = xxhash.xxh128_intdigest(h.tobytes())
                     out["node"].append(cols["node"][k])
+                    out["hi"].append(d >> 64)
+                    out["lo"].append(d & 0xFFFFFFFFFFFFFFFF)
                     out["s"].append(signed(np.unique(shingles(h, WIDTH))))
+            for c in ("hi", "lo"):
+                out[c] = signed(np.array(out[c], np.uint64))
             return out
 
         return step
 
-    sets = map_rows(rows.select("node", F.xxhash64("node").alias("h"), "text"), make, "node long, s array<long>")
-    sets = written(sets.join(ends.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = map_rows(rows.select("node", F.xxhash64("node").alias("h"), "text"), make, "node long, hi long, lo long, s array<long>")
+    sets = sets.join(ends, ["node", "hi", "lo"], "left_semi").select("node", "s")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
     links = _verified(first.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), sets, similarity)
     links = cut(links)
     label = cut(components(links))
@@ -340,17 +355,40 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     merged = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
     label = cut(components(merged))
     merged = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(cut(_large_links(large, label, sets, similarity)))
-    final = components(merged.unionByName(equal))
+    return components(merged.unionByName(equal))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id) for every row of ``docs``.
+
+    The class is named by its lowest document id.  Texts without words are
+    classes of their own; texts of fewer than five words are one shingle.  Rows
+    of one id are one document; if their texts differ, one of them (that with
+    the lowest digest) stands for it.  A row without id stands for its text:
+    its class is that of the ids like it, or null if there are none.  Ids are
+    below 2**62.  Extra columns are ignored; an empty table gives no rows.
+    """
+    final = _labels(docs, similarity)
     labels = final.select(F.col("node").alias("__n"), "label")
-    return rows.join(labels, F.col("node") == F.col("__n"), "left").select(
-        "doc_id", F.coalesce("label", "node").alias("class_id")
+    named = F.coalesce("label", "node")
+    return _rows(docs).join(labels, F.col("node") == F.col("__n"), "left").select(
+        "doc_id", F.when(named < NAMELESS, named).alias("class_id")
     )
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose document has the lowest id of its class; all columns stay."""
-    gone = classes(docs, similarity).where("doc_id IS NOT NULL AND doc_id != class_id").select("doc_id")
-    return without_ids(docs, gone)
+    """The rows of ``docs`` whose document has the lowest id of its class; all columns stay, whatever their names.
+
+    Repeated rows of the kept id stay.  Of rows without id none stays that is
+    like a row with one; of others, one for each class.  Texts without words
+    stay, but of equal rows without id and words only one.
+    """
+    gone = cut(_labels(docs, similarity).select("node"))
+    named = without_ids(docs.where(F.col("doc_id").cast("long").isNotNull()), gone.where(F.col("node") < NAMELESS).select(F.col("node").alias("doc_id")))
+    node, other = fresh(docs.columns, "node"), fresh([*docs.columns, "node"], "other")
+    rest = docs.where(F.col("doc_id").cast("long").isNull()).withColumn(node, _node())
+    rest = rest.join(gone.select(F.col("node").alias(other)), F.col(node) == F.col(other), "left_anti")
+    return named.unionByName(rest.dropDuplicates([node]).drop(node))
 
 
 def op8(docs: DataFrame) -> DataFrame:

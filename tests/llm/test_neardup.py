@@ -134,6 +134,26 @@ def test_odd_rows(odd_docs, empty_docs):
     assert all(r["class_id"] == r["doc_id"] for r in rows if r["doc_id"] is not None)
     assert N.op8(empty_docs).collect() == []
     assert N.keep_one(odd_docs).count() == 9
+    assert N.keep_one(empty_docs).collect() == []
+
+
+def test_null_and_shared_ids(make_docs):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(None, a), (7, a + " end"), (None, b), (None, b), (None, b + " end"), (None, None), (None, ""), (9, c), (9, c), (9, a), (10, c + " x"), (11, None)]
+    docs = make_docs([t for _, t in rows], ids=[i for i, _ in rows]).selectExpr("*", "'n' AS node", "'o' AS other", "'l' AS label", "'g' AS gone", "'h' AS h")
+    got = N.classes(docs).collect()
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], set()).add(r["class_id"])
+    # 9 has two texts; one stands for it: like 7 or like 10, never both
+    assert of[7] == {7} and of[9] in ({7}, {9}) and of[10] == ({10} if of[9] == {7} else {9}) and of[11] == {11}
+    assert of[None] == {7, None}
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sum(i is None and t in (b, b + " end") for i, t in left) == 1 and (None, a) not in left and (7, a + " end") in left
+    assert sum(i is None and not t for i, t in left) == 1 and (11, None) in left
 
 
 def test_a_templated_family_equals_brute_force(make_docs):
