@@ -4,7 +4,7 @@ A block's windows are rows of a matrix.  One matrix product of two blocks gives
 a score that falls with the distance (two extra columns carry the rules for
 missing and constant windows, or the norms in raw mode).  Products are only a
 search: every entry within a rounding bound of a row's best is evaluated again
-as a sum of squared differences, which depends on the two windows alone, so
+from the differences, which depends on the two windows alone, so
 results and exact ties do not depend on block sizes.
 """
 
@@ -88,13 +88,42 @@ def block(samples: np.ndarray, first: int, m: int, normalize: bool, constant: np
     return Block(first, np.ascontiguousarray(w), fin, const, False)
 
 
-def exact_d2(a: Block, b: Block, r: np.ndarray, c: np.ndarray, snap: bool = True) -> np.ndarray:
-    """Squared distances of window pairs by sums of squared differences, with all rules applied."""
+def norms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean norms of the rows of x - y, for any doubles whose result is one.
+
+    A row whose sum of squares leaves the safe range is measured again in units
+    of a power of two near its largest difference, which rounds nothing.
+    """
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        c = x - y
+        total = (c * c).sum(axis=1)
+    out = np.sqrt(total)
+    odd = np.flatnonzero(~((total > 1e-270) & (total < 1e300)))
+    if len(odd):
+        # differences of quarters never overflow; only rows near the end of the range need them
+        part = np.where(np.isfinite(c[odd]).all(axis=1), 1.0, 0.25)[:, None]
+        c = x[odd] * part - y[odd] * part
+        largest = np.abs(c).max(axis=1)
+        unit = np.exp2(np.floor(np.log2(np.where(largest > 0, largest, 1.0))))
+        with np.errstate(over="ignore"):
+            out[odd] = np.sqrt(((c / unit[:, None]) ** 2).sum(axis=1)) * unit / part[:, 0]
+    return out
+
+
+def exact(a: Block, b: Block, r: np.ndarray, c: np.ndarray, snap: bool = True) -> np.ndarray:
+    """Measures of window pairs by sums of squared differences, with all rules applied.
+
+    A measure orders pairs: the squared distance when normalised (0 to 4m), the
+    distance itself when raw, whose square need not be a double.
+    """
     out = np.empty(len(r))
     for at in range(0, len(r), EXACT_ROWS):
-        x = a.values[r[at : at + EXACT_ROWS]] - b.values[c[at : at + EXACT_ROWS]]
-        with np.errstate(over="ignore"):
+        x, y = a.values[r[at : at + EXACT_ROWS]], b.values[c[at : at + EXACT_ROWS]]
+        if a.normalize:
+            x = x - y
             out[at : at + EXACT_ROWS] = (x * x).sum(axis=1)
+        else:
+            out[at : at + EXACT_ROWS] = norms(x, y)
     if a.normalize:
         if snap:
             out[out < SNAP] = 0.0
@@ -106,8 +135,17 @@ def exact_d2(a: Block, b: Block, r: np.ndarray, c: np.ndarray, snap: bool = True
     return out
 
 
+def distances(measure: np.ndarray, normalize: bool) -> np.ndarray:
+    """Distances of measures."""
+    return np.sqrt(measure) if normalize else measure
+
+
 def _sides(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray, float]:
-    """Matrices whose product is the score: m - d2/2 when normalised, -d2/2 when raw; and its rounding bound."""
+    """Matrices whose product is the score, and its rounding bound.
+
+    m - d2/2 when normalised; when raw -d2/2 in units of the power of two near
+    the largest deviation from a common middle, so that no product overflows.
+    """
     m = a.m
 
     def penal(x: Block) -> np.ndarray:
@@ -117,10 +155,16 @@ def _sides(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray, float]:
         ea, eb = penal(a) + a.constant * (m / 2), penal(b) + b.constant * (m / 2)
         va, vb, bound = a.values, b.values, 64 * EPS * m * (m + 2)
     else:
-        both = [x for x in (a, b) if x.finite.any()]
-        mid = float(np.mean([x.values[x.finite].mean() for x in both])) if both else 0.0
-        va = np.where(a.finite[:, None], a.values - mid, 0.0)
-        vb = np.where(b.finite[:, None], b.values - mid, 0.0)
+        shown = [x.values[x.finite] for x in (a, b) if x.finite.any()]
+        lo, hi = (min(x.min() for x in shown), max(x.max() for x in shown)) if shown else (0.0, 0.0)
+        mid = lo * 0.5 + hi * 0.5
+        reach = max(hi * 0.5 - mid * 0.5, mid * 0.5 - lo * 0.5)  # half of it, as the whole may be no double
+        unit = np.exp2(np.floor(np.log2(reach))) if reach > 0 else 1.0
+
+        def scaled(x: Block) -> np.ndarray:
+            return np.where(x.finite[:, None], (x.values * 0.5 - mid * 0.5) / unit, 0.0)
+
+        va, vb = scaled(a), scaled(b)
         na, nb = (va * va).sum(axis=1), (vb * vb).sum(axis=1)
         ea, eb = penal(a) - na / 2, penal(b) - nb / 2
         bound = 64 * EPS * (m + 2) * max(na.max(initial=0.0), nb.max(initial=0.0), 1e-300)
@@ -133,7 +177,7 @@ def keys(i: np.ndarray, j: np.ndarray, self_join: bool) -> np.ndarray:
 
 
 class Best:
-    """The k best (d2, key, j) of each window of a block, merged in any order."""
+    """The k best (d2, key, j) of each window of a block, merged in any order; d2 is any measure (see ``exact``)."""
 
     def __init__(self, first: int, n: int, k: int, self_join: bool):
         self.first, self.n, self.k, self.self_join = first, n, k, self_join
@@ -211,7 +255,7 @@ def join(a: Block, b: Block, k: int, excl: int | None, into: list[tuple[str, int
                     part = np.where(g < 0 if before else g > 0, score, -np.inf)
             r, c = _winners(part, best.k, bound, 1 - which)
             if len(r):
-                d2 = exact_d2(a, b, r + at, c)
+                d2 = exact(a, b, r + at, c)
                 if which == 0:
                     best.add(r + at, c + b.first, d2)
                 else:
@@ -226,4 +270,4 @@ def distance_profile(q: np.ndarray, t: Block, q_constant: bool) -> np.ndarray:
     else:
         query = Block(0, q[None, :], np.array([True]), np.array([q_constant]), False)
     zeros = np.zeros(t.n, np.int64)
-    return np.sqrt(exact_d2(query, t, zeros, np.arange(t.n), snap=False))
+    return distances(exact(query, t, zeros, np.arange(t.n), snap=False), t.normalize)

@@ -10,7 +10,7 @@ it; one shuffle by (series, block) merges tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,27 @@ def block_rows(series: DataFrame, m: int, block: int, constant: DataFrame | None
     return rows
 
 
+def constant_flags(series: DataFrame, m: int, func: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(series_id, i, is_constant) from a user's function of a whole series and the window length.
+
+    It is called once a series, in one task, and sees missing samples as NaN; a
+    window with one is never constant.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf.sort_values("i")["v"].to_numpy(np.float64)
+        flags = np.asarray(func(np.where(np.isfinite(a), a, np.nan), m))
+        n = len(a) - m + 1
+        if n < 1:
+            return pd.DataFrame({"series_id": [], "i": [], "is_constant": []})
+        if flags.dtype != np.bool_ or flags.shape != (n,):
+            raise ValueError(f"a function of constant windows returns {n} booleans here, not {flags.dtype} {flags.shape}")
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(a))])
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "i": np.arange(n), "is_constant": flags & (bad[m:] == bad[:-m])})
+
+    return check_schema(series).groupBy("series_id").applyInPandas(run, "series_id string, i long, is_constant boolean")
+
+
 def block_counts(series: DataFrame, m: int, block: int) -> DataFrame:
     """(series_id, last): the number of the last block of windows of each series."""
     last = F.call_function("div", F.max("i") - (m - 1), F.lit(block).cast("long"))
@@ -161,7 +182,7 @@ def _partials(
     return cells.select(*names).mapInArrow(run, _PART)
 
 
-def _merged(parts: DataFrame, block: int, k: int, self_join: bool) -> DataFrame:
+def _merged(parts: DataFrame, block: int, k: int, self_join: bool, normalize: bool) -> DataFrame:
     """Profile rows (rank 1..k, side all) and, for a self-join, rank -1 and -2 for the left and right neighbour."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,7 +208,7 @@ def _merged(parts: DataFrame, block: int, k: int, self_join: bool) -> DataFrame:
         frame = {
             "series_id": sid,
             "i": i,
-            "p": list(np.sqrt(top.d2)),
+            "p": list(B.distances(top.d2, normalize)),
             "j": list(top.j),
             "left_j": out["left"].j[:, 0] if self_join else np.full(n, -1),
             "right_j": out["right"].j[:, 0] if self_join else np.full(n, -1),
@@ -213,7 +234,7 @@ def wide(
     block = block_windows(m) if block is None else positive_int(block, "block")
     other = None if other is None else check_schema(other)
     parts = _partials(series, other, m, block, k, exclusion_zone(m, denom), normalize, (constant, other_constant))
-    return _merged(parts, block, k, other is None)
+    return _merged(parts, block, k, other is None, normalize)
 
 
 def long(profile: DataFrame) -> DataFrame:

@@ -31,16 +31,23 @@ def hourly_by_type(gap: str = "'nan'::DOUBLE", name: str = "s") -> str:
   FROM g LEFT JOIN a USING (event_type, t))"""
 
 
-def daily_counts(divide: int = 1, first: int = 600, name: str = "s") -> str:
+def daily_counts(divide: int = 1, name: str = "s") -> str:
     return f"""{name} AS (
   SELECT '0' AS series_id, i, floor(c / {divide})::DOUBLE AS v FROM (
     SELECT row_number() OVER (ORDER BY t) - 1 AS i, c FROM (
-      SELECT date_trunc('day', l_shipdate) AS t, count(*) AS c FROM lineitem GROUP BY 1)) WHERE i < {first})"""
+      SELECT date_trunc('day', l_shipdate) AS t, count(*) AS c FROM lineitem GROUP BY 1)))"""
 
 
-def windows(m: int, source: str = "s", name: str = "w") -> str:
+def with_copies(source: str, at: int, of: int, m: int, name: str = "s") -> str:
+    """A series whose samples from ``at`` are 2 v + 3 of those from ``of``."""
+    return f"""{source}, {name} AS (
+  SELECT a.series_id, a.i, CASE WHEN a.i BETWEEN {at} AND {at + m - 1} THEN 2 * b.v + 3 ELSE a.v END AS v
+  FROM h a LEFT JOIN h b ON b.i = a.i + {of - at})"""
+
+
+def windows(m: int, source: str = "s", name: str = "w", constant: str = "list_min(w) = list_max(w)") -> str:
     return f"""{name} AS (
-  SELECT series_id, i, w, f, f AND list_min(w) = list_max(w) AS c,
+  SELECT series_id, i, w, f, f AND {constant} AS c,
          CASE WHEN f AND list_min(w) < list_max(w)
               THEN list_transform(w, lambda x: (x - list_avg(w)) / list_stddev_pop(w))
               ELSE list_transform(w, lambda x: 0.0::DOUBLE) END AS z
@@ -81,8 +88,8 @@ def both_sides(source: str = "w", p: str = "p") -> str:
 FROM {source} w LEFT JOIN {one.format('<')} l USING (series_id, i) LEFT JOIN {one.format('>')} r USING (series_id, i)"""
 
 
-def profile(series: str, m: int, k: int = 1, normalize: bool = True, denom: float = 4) -> str:
-    return f"WITH {series}, {windows(m)}, {pairs(m, normalize, denom)}\n{best(k)}"
+def profile(series: str, m: int, k: int = 1, normalize: bool = True, denom: float = 4, constant: str = "list_min(w) = list_max(w)") -> str:
+    return f"WITH {series}, {windows(m, constant=constant)}, {pairs(m, normalize, denom)}\n{best(k)}"
 
 
 def sides(series: str, m: int, normalize: bool = True) -> str:
@@ -143,8 +150,9 @@ def pan_profiles(series: str, rows: list[tuple[int, int, int]], normalize: bool
     return ",\n".join(ctes) + ",\npr AS (" + "\n  UNION ALL ".join(parts) + ")"
 
 
-def pan_picture(series: str, rows: list[tuple[int, int, int]], n_rows: int, threshold: float = 0.2, contrast: bool = True, binary: bool = True) -> str:
-    value = "least(1.0, v / (2 * sqrt(m)))"
+def pan_picture(series: str, rows: list[tuple[int, int, int]], n_rows: int, threshold: float = 0.2, contrast: bool = True, binary: bool = True, normalize: bool = True) -> str:
+    span = "2" if normalize else "(SELECT max(v) - min(v) FROM s WHERE isfinite(v))"
+    value = f"least(1.0, v / ({span} * sqrt(m)))"
     t = threshold
     steps = [f"x0 AS (SELECT pan_row, upd, i, CASE WHEN v IS NULL THEN NULL ELSE {value} END AS v FROM cells)"]
     last = "x0"
@@ -156,7 +164,7 @@ def pan_picture(series: str, rows: list[tuple[int, int, int]], n_rows: int, thre
         steps.append(f"x2 AS (SELECT pan_row, upd, i, CASE WHEN v <= {t} THEN 0.0 ELSE 1.0 END AS v FROM {last})")
         last = "x2"
     steps.append(f"x3 AS (SELECT pan_row, i, CASE WHEN v IS NULL THEN NULL ELSE greatest(0.0, least(1.0, v)) END AS v FROM {last})")
-    return f"""WITH {pan_profiles(series, rows)},
+    return f"""WITH {pan_profiles(series, rows, normalize)},
 cells AS (SELECT r.pan_row, r.upd, r.m, s.i, CASE WHEN isfinite(pr.p) THEN pr.p END AS v
   FROM (SELECT DISTINCT pan_row, upd, m FROM pr) r CROSS JOIN s LEFT JOIN pr ON pr.pan_row = r.pan_row AND pr.i = s.i),
 {", ".join(steps)},

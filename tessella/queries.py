@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import api
 from tessella import oracles as O
 from tessella.functions import distance as D
 from tessella.functions import rolling as R
@@ -59,9 +61,15 @@ def daily(spark: SparkSession, sf_dir: str, divide: int = 1) -> DataFrame:
     return s.withColumn("v", F.floor(F.col("v") / divide).cast("double"))
 
 
-def first_days(spark: SparkSession, sf_dir: str, divide: int = 1) -> DataFrame:
-    """The first 600 days, as in the SQL of the queries that use them; ``mp_days_...`` are the same over all days."""
-    return daily(spark, sf_dir, divide).where(F.col("i") < 600)
+def scaled_days(power: int) -> Query:
+    """The daily profile in units of a power of two whose squares are no doubles, and back."""
+
+    def run(spark, sf_dir):
+        s = daily(spark, sf_dir)
+        p = B.wide(s.withColumn("v", F.col("v") * F.lit(2.0**power)), DAY, normalize=False, k=2)
+        return _long(p.withColumn("p", F.transform("p", lambda x: x / F.lit(2.0**power))))
+
+    return run
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,15 +152,102 @@ def _pan_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ others
 def _equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Are two series equal, up to the marker of a missing sample, for each pair of event types?"""
+    """Each series (event types, and one twice) with the first that equals it, up to the marker of a missing sample.
+
+    Series meet by a digest of their samples, then sample by sample.
+    """
     a = by_type(spark, sf_dir)
-    b = a.select(F.col("series_id").alias("other_id"), F.col("i").alias("_i"), F.col("v").alias("_v"))
-    ids = a.select("series_id").distinct()
-    pairs = ids.crossJoin(ids.select(F.col("series_id").alias("other_id")))  # a handful of series
-    both = pairs.join(a, "series_id").join(b.withColumnRenamed("_i", "i"), ["other_id", "i"])
+    odd = F.when(~series_source.is_finite(F.col("v")), F.lit(float("inf"))).otherwise(F.col("v"))
+    a = a.unionByName(a.where(F.col("series_id") == "view").select(F.lit("view again").alias("series_id"), "i", odd.alias("v")))
+    sample = F.struct("i", F.when(series_source.is_finite(F.col("v")), F.col("v")))
+    digest = a.groupBy("series_id").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(sample, F.lit(k))).alias(f"x{k}") for k in range(2)])
+    first = digest.groupBy("n", "x0", "x1").agg(F.min("series_id").alias("first_id"))
+    pairs = digest.join(first, ["n", "x0", "x1"]).select("series_id", "first_id")
+    b = a.select(F.col("series_id").alias("first_id"), "i", F.col("v").alias("_v"))
+    both = a.join(pairs, "series_id").join(b, ["first_id", "i"])
     fa, fb = series_source.is_finite(F.col("v")), series_source.is_finite(F.col("_v"))
     same = F.when(fa & fb, F.col("v") == F.col("_v")).otherwise(~fa & ~fb)
-    return both.groupBy("series_id", "other_id").agg(F.min(same.cast("int")).alias("is_equal"))
+    return both.groupBy("series_id", "first_id").agg(F.min(same.cast("int")).alias("is_equal"))
+
+
+# ------------------------------------------------------------------ array calls, and users' functions
+def _array(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """The hourly series as array calls take it: a row an hour, which a driver holds."""
+    return hourly(spark, sf_dir).orderBy("i").toPandas()["v"].to_numpy()
+
+
+def _profile_rows(spark: SparkSession, found) -> DataFrame:
+    k = (found.shape[1] - 2) // 2
+    rows = [("0", i, r + 1, float(p), int(j)) for i, row in enumerate(found) for r, (p, j) in enumerate(zip(row[:k], row[k : 2 * k]))]
+    return _long(spark.createDataFrame(rows, B.PROFILE))
+
+
+def _array_profile(call: Callable) -> Query:
+    return lambda spark, sf_dir: _profile_rows(spark, call(_array(spark, sf_dir)))
+
+
+def _array_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given means, of which one is infinite: its window counts as missing."""
+    t = _array(spark, sf_dir)
+    means = np.zeros(len(t) - HOUR + 1)
+    means[7] = np.inf
+    d = api.mass(t[400 : 400 + HOUR], t, means, np.ones(len(means)))
+    return spark.createDataFrame(list(enumerate(map(float, d))), "j long, d double").select("j", F.round("d", 6).alias("d"))
+
+
+def _array_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prepared target and a threshold that is a function of the profile."""
+    t = _array(spark, sf_dir)
+    with api.prepare_target(t, HOUR) as target:
+        found = target.match(t[400 : 400 + HOUR], max_distance=lambda d: 0.75 * d.mean())
+    rows = [("0", "0", r + 1, float(d), int(j)) for r, (d, j) in enumerate(found)]
+    return spark.createDataFrame(rows, "query_id string, series_id string, rank int, d double, j long").withColumn("d", F.round("d", 6))
+
+
+def _array_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pan = api.gpu_stimp(_array(spark, sf_dir), 8, 64, 8, 0, False)
+    for _ in range(3):
+        pan.update()
+    got = pan.pan(threshold=0.5, contrast=False, binary=False)
+    rows = [("0", r, i, float(v)) for r, row in enumerate(got) for i, v in enumerate(row)]
+    return spark.createDataFrame(rows, "series_id string, pan_row int, i long, value double").withColumn("value", F.round("value", 6))
+
+
+def _raw_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = hourly(spark, sf_dir, nan=(144,))
+    shown = F.when(series_source.is_finite(F.col("v")), F.col("v"))
+    ranges = s.groupBy("series_id").agg(F.min(shown).alias("lo"), F.max(shown).alias("hi"))
+    lengths = s.groupBy("series_id").agg(F.count("*").alias("n"))
+    cells = P.picture(P.profiles(s, _SIZES, 3, False), lengths, len(_SIZES), 0.5, binary=False, ranges=ranges)
+    return cells.select("series_id", F.col("pan_row").cast("int").alias("pan_row"), "i", F.round("value", 6).alias("value"))
+
+
+def _first_sample_sevenths(a: np.ndarray, w: int) -> np.ndarray:
+    return np.mod(a[: len(a) - w + 1], 7) == 0
+
+
+def _user_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth window is constant, says the user."""
+    s = hourly(spark, sf_dir)
+    flags = R.window_flags(s, HOUR).select("series_id", "i", (F.col("i") % 5 == 0).alias("is_constant"))
+    return _long(B.wide(s, HOUR, constant=flags))
+
+
+def _user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = hourly(spark, sf_dir)
+    return _long(B.wide(s, HOUR, constant=B.constant_flags(s, HOUR, _first_sample_sevenths)))
+
+
+def _certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches where one window is an exact affine copy of the query."""
+    s = hourly(spark, sf_dir)
+    copy = s.where(F.col("i").between(400, 400 + HOUR - 1)).select("series_id", (F.col("i") - 300).alias("i"), (2 * F.col("v") + 3).alias("_c"))
+    s = s.join(copy, ["series_id", "i"], "left").select("series_id", "i", F.coalesce("_c", "v").alias("v"))
+    q = M.queries_from_windows(s, {"0": 400}, HOUR)
+    d = X.certified(M.distance_profile(q, s, HOUR), q, s, HOUR)
+    found = X.select(d, HOUR, max_distance=lambda p: p.groupBy("query_id", "series_id").agg((0.75 * F.avg("d")).alias("cutoff")))
+    exact = F.when((F.col("d") == 0) | (F.col("d") >= 1e-6), F.round("d", 6))
+    return found.select("query_id", "series_id", "rank", exact.alias("d"), "j")
 
 
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,14 +337,21 @@ TABLE: dict[str, tuple[Query, str | None]] = {
     "mp_self_norm_k1": (_self(hourly, HOUR), O.profile(_h, HOUR)),
     "mp_self_norm_topk": (_self(hourly, HOUR, k=3), O.profile(_h, HOUR, 3)),
     "mp_left_right": (lambda spark, sf: B.sides(B.wide(hourly(spark, sf), HOUR)), O.sides(_h, HOUR)),
-    "mp_self_raw_k1": (_self(first_days, DAY, normalize=False), O.profile(_days, DAY, 1, False)),
-    "mp_self_raw_topk": (_self(first_days, DAY, normalize=False, k=3), O.profile(_days, DAY, 3, False)),
-    "mp_raw_left_right": (lambda spark, sf: B.sides(B.wide(first_days(spark, sf), DAY, normalize=False)), O.sides(_days, DAY, False)),
-    "mp_raw_exact_ties": (_self(lambda spark, sf: first_days(spark, sf, 8), DAY, normalize=False, k=4), O.profile(_steps, DAY, 4, False)),
-    "mp_days_raw_k1": (_self(daily, DAY, normalize=False), None),
-    "mp_days_raw_topk": (_self(daily, DAY, normalize=False, k=3), None),
-    "mp_days_raw_left_right": (lambda spark, sf: B.sides(B.wide(daily(spark, sf), DAY, normalize=False)), None),
-    "mp_days_raw_exact_ties": (_self(lambda spark, sf: daily(spark, sf, 8), DAY, normalize=False, k=4), None),
+    "mp_self_raw_k1": (_self(daily, DAY, normalize=False), O.profile(_days, DAY, 1, False)),
+    "mp_self_raw_topk": (_self(daily, DAY, normalize=False, k=3), O.profile(_days, DAY, 3, False)),
+    "mp_raw_left_right": (lambda spark, sf: B.sides(B.wide(daily(spark, sf), DAY, normalize=False)), O.sides(_days, DAY, False)),
+    "mp_raw_exact_ties": (_self(lambda spark, sf: daily(spark, sf, 8), DAY, normalize=False, k=4), O.profile(_steps, DAY, 4, False)),
+    "mp_raw_huge": (scaled_days(900), O.profile(_days, DAY, 2, False)),
+    "mp_raw_tiny": (scaled_days(-900), O.profile(_days, DAY, 2, False)),
+    "mp_user_flags": (_user_flags, O.profile(_h, HOUR, constant="i % 5 = 0")),
+    "mp_user_function": (_user_function, O.profile(_h, HOUR, constant="w[1]::BIGINT % 7 = 0")),
+    "array_stump": (_array_profile(lambda t: api.stump(t, HOUR, k=2)), O.profile(_h, HOUR, 2)),
+    "array_gpu_stump": (_array_profile(lambda t: api.gpu_stump(t, HOUR, t.copy(), True, [0, 1])), O.profile(_h, HOUR)),
+    "array_gpu_aamp": (_array_profile(lambda t: api.gpu_aamp(t, HOUR, k=2, device_id=0)), O.profile(_h, HOUR, 2, False)),
+    "array_aamp_ab": (
+        _array_profile(lambda t: api.aamp(t[:300], HOUR, t[300:], False)),
+        O.ab(f"{O.hourly(name='h')}, s AS (SELECT * FROM h WHERE i < 300)", "t AS (SELECT series_id, i - 300 AS i, v FROM h WHERE i >= 300)", HOUR, False),
+    ),
     "mp_ab_norm": (_ab("click", "view", True), O.ab(O.hourly(kinds="'click'"), O.hourly(kinds="'view'", name="t"), HOUR, True)),
     "mp_ab_raw": (_ab("click", "view", False, 2), O.ab(O.hourly(kinds="'click'"), O.hourly(kinds="'view'", name="t"), HOUR, False, 2)),
     "mp_ab_by_series": (
@@ -287,6 +389,12 @@ TABLE: dict[str, tuple[Query, str | None]] = {
     "match_topk": (_match(400, max_distance=float("inf"), max_matches=7), O.matches(_h, HOUR, 400, cutoff="'inf'::DOUBLE", most=7)),
     "match_query_idx": (_match(400, own=True, query_idx=400, max_distance=6.0), O.matches(_h, HOUR, 400, cutoff="6.0", first=400, own=True)),
     "aamp_match": (_match(400, normalize=False), O.matches(_h, HOUR, 400, False)),
+    "array_mass_means": (
+        _array_mass,
+        f"WITH {O.query_profile(_h, HOUR, 400, True)} SELECT j::BIGINT AS j, CASE WHEN j = 7 THEN 'inf'::DOUBLE ELSE round(d, 6) END AS d FROM d",
+    ),
+    "array_prepared_match": (_array_match, O.matches(_h, HOUR, 400, cutoff="(SELECT 0.75 * avg(d) FROM d)")),
+    "match_certified": (_certified, O.matches(O.with_copies(O.hourly(name="h"), 100, 400, HOUR), HOUR, 400, cutoff="(SELECT 0.75 * avg(d) FROM d)")),
     "discords_top10": (_discords, O.discords(_h, HOUR, 10)),
     "motif_top1": (_motif, O.motif(_h, HOUR)),
     # pan profile
@@ -298,12 +406,15 @@ TABLE: dict[str, tuple[Query, str | None]] = {
     "pan_contrast": (_pan(8, binary=False), O.pan_picture(O.hourly(nan=(144,)), _pan_rows(8), 8, binary=False)),
     "pan_binary": (_pan(8), O.pan_picture(O.hourly(nan=(144,)), _pan_rows(8), 8)),
     "pan_partial_repeat": (_pan(3, threshold=0.5, binary=False), O.pan_picture(O.hourly(nan=(144,)), _pan_rows(3), 8, threshold=0.5, binary=False)),
+    "pan_raw": (_raw_pan, O.pan_picture(O.hourly(nan=(144,)), _pan_rows(3), 8, threshold=0.5, binary=False, normalize=False)),
+    "array_gpu_stimp": (_array_pan, O.pan_picture(_h, _pan_rows(3), 8, threshold=0.5, contrast=False, binary=False, normalize=False)),
     # series
     "series_equal_ab": (
         _equality,
-        f"""WITH {O.hourly_by_type()} SELECT a.series_id, b.series_id AS other_id,
-  min(CASE WHEN isfinite(a.v) AND isfinite(b.v) THEN (a.v = b.v)::INT ELSE (NOT isfinite(a.v) AND NOT isfinite(b.v))::INT END)::INT AS is_equal
-FROM s a JOIN s b USING (i) GROUP BY ALL""",
+        f"""WITH {O.hourly_by_type()}, a AS (SELECT * FROM s UNION ALL SELECT 'view again', i, v FROM s WHERE series_id = 'view'),
+e AS (SELECT a.series_id, b.series_id AS first_id, bool_and(coalesce(a.v = b.v, FALSE) OR NOT isfinite(a.v) AND NOT isfinite(b.v)) AS same
+  FROM a JOIN a b USING (i) GROUP BY ALL)
+SELECT series_id, min(first_id) AS first_id, 1::INT AS is_equal FROM e WHERE same GROUP BY series_id""",
     ),
     "profile_stats": (
         _statistics,

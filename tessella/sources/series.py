@@ -47,39 +47,69 @@ def indexed(df: DataFrame, value: Column, order: list[Column], by: Column | None
         names = [F.col(f"_o{k}") for k in range(len(order))]
         i = F.row_number().over(Window.partitionBy("series_id").orderBy(*names)) - 1
         return df.select(*cols).withColumn("i", i.cast("long")).select("series_id", "i", "v")
-    names = [F.col(f"_o{k}") for k in range(len(order))]
-    rows = df.select(as_value(value).alias("v"), *[o.alias(f"_o{k}") for k, o in enumerate(order)])
-    rows = rows.repartitionByRange(*names).sortWithinPartitions(*names)
+    names = [F.col(f"_o{k}").asc() for k in range(len(order))]
+    rows = df.select(F.lit("0").alias("series_id"), as_value(value).alias("v"), *[o.alias(f"_o{k}") for k, o in enumerate(order)])
+    return numbered(rows, ["series_id"], names, "i").select("series_id", "i", "v")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``, the place from 0 of each row among those with its values of ``by``, in the given order.
+
+    Rows are dealt to ranges of (by, order) and numbered by their place in the
+    range and the counts of ranges before, so no group, however large, is
+    sorted in one task.  Rows that are equal in (by, order) are numbered in any
+    order.
+    """
+    keys = [F.col(c).asc() for c in by]
+    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     # the place of a row in its partition is the low part of the generated id
-    rows = rows.select("v", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("g"))
-    rows = rows.select("v", "p", (F.col("g") - F.shiftleft(F.col("p").cast("long"), 33)).alias("k"))
+    rows = rows.withColumns({"_p": F.spark_partition_id(), "_g": F.monotonically_increasing_id()})
+    rows = rows.withColumn("_g", F.col("_g") - F.shiftleft(F.col("_p").cast("long"), 33))
     rows = checkpointed(rows)  # numbers and offsets must see the same ranges
-    counts = rows.groupBy("p").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("p", F.coalesce(before, F.lit(0)).alias("base"))  # a row a partition
-    return rows.join(F.broadcast(offsets), "p").select(F.lit("0").alias("series_id"), (F.col("base") + F.col("k")).alias("i"), "v")
+    counts = rows.groupBy(*by, "_p").agg(F.count("*").alias("_n"), F.min("_g").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*by, "_p", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base"))  # a row for each group in each range
+    return rows.join(offsets, [*by, "_p"]).withColumn(name, F.col("_base") + F.col("_g")).drop("_p", "_g", "_base")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialised in the shared checkpoint folder, which survives lost executors."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))  # one machine, as in tests
     return df.checkpoint(eager=True)
 
 
+#: For each unit of time a longer one, whose units are numbered apart.
+_LONGER = {"second": "day", "minute": "month", "hour": "year", "day": "year", "week": "year", "month": "year"}
+
+
 def bucketed(df: DataFrame, time: Column, value: Column, unit: str, by: Column | None = None) -> DataFrame:
     """One sample a calendar unit (`hour`, `day`): the aggregate ``value`` of its rows, in time order.
 
     Units without rows are left out; see ``gridded`` for a dense grid.
     """
     keys = [F.date_trunc(unit, time).alias("_t")] + ([by.cast("string").alias("series_id")] if by is not None else [])
-    agg = df.groupBy(*keys).agg(value.alias("_v"))
+    agg = df.groupBy(*keys).agg(as_value(value).alias("v"))
     if by is None:
         agg = agg.withColumn("series_id", F.lit("0"))
-    return indexed(agg, F.col("_v"), [F.col("_t")], F.col("series_id"))
+    return _by_time(agg, unit)
+
+
+def _by_time(agg: DataFrame, unit: str) -> DataFrame:
+    """(series_id, i, v) of (series_id, _t, v), numbered by time: within each longer unit, then by the counts before."""
+    agg = agg.withColumn("_long", F.date_trunc(_LONGER[unit], F.col("_t")))
+    place = F.row_number().over(Window.partitionBy("series_id", "_long").orderBy("_t")) - 1
+    counts = agg.groupBy("series_id", "_long").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("series_id").orderBy("_long").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("series_id"), F.col("_long"), F.coalesce(before, F.lit(0)).alias("_base"))
+    same = [F.col("a.series_id") == F.col("o.series_id"), F.col("a._long").eqNullSafe(F.col("o._long"))]
+    rows = agg.withColumn("_k", place).alias("a").join(offsets.alias("o"), same)
+    return rows.select("a.series_id", (F.col("_base") + F.col("_k")).cast("long").alias("i"), "v")
 
 
 def gridded(df: DataFrame, time: Column, value: Column, unit: str, by: Column, fill: float = float("nan")) -> DataFrame:
@@ -87,10 +117,11 @@ def gridded(df: DataFrame, time: Column, value: Column, unit: str, by: Column, f
     agg = df.groupBy(by.cast("string").alias("series_id"), F.date_trunc(unit, time).alias("_t")).agg(value.alias("_v"))
     ends = agg.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
     step = F.expr(f"interval 1 {unit}")
-    grid = ends.select(F.explode(F.sequence("lo", "hi", step)).alias("_t"))
-    full = agg.select("series_id").distinct().join(F.broadcast(grid), F.lit(True))
-    joined = full.join(agg, ["series_id", "_t"], "left").withColumn("_v", F.coalesce("_v", F.lit(fill)))
-    return indexed(joined, F.col("_v"), [F.col("_t")], F.col("series_id"))
+    # `ends` is one row
+    full = agg.select("series_id").distinct().join(F.broadcast(ends), F.lit(True))
+    full = full.select("series_id", F.explode(F.sequence("lo", "hi", step)).alias("_t"))
+    joined = full.join(agg, ["series_id", "_t"], "left")
+    return _by_time(joined.select("series_id", "_t", as_value(F.coalesce("_v", F.lit(fill))).alias("v")), unit)
 
 
 def from_array(spark: SparkSession, values: np.ndarray, series_id: str = "0") -> DataFrame:

@@ -6,10 +6,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessella import api
+from pyspark.sql import functions as F
+
 from tessella.functions import affine
+from tessella.operators import mass as M
 from tessella.operators import match as X
 from tessella.operators import pan as P
 from tessella.plans import planner
+from tessella.sources.series import from_array
 from tests.test_profile import distances, plain, walk
 
 
@@ -203,3 +207,31 @@ def test_planner():
     assert planner.estimated_peak_bytes(100_000, 50) < 256 << 20
     assert planner.estimated_peak_bytes(100_000, 50, k=20) > planner.estimated_peak_bytes(100_000, 50)
     assert planner.block_windows(10) == planner.MAX_BLOCK and planner.block_windows(10**6) == planner.MIN_BLOCK
+
+
+def test_certified_distances_and_functions_on_tables(spark):
+    t = np.round(walk(400, 4) * 100)
+    t[200:220] = 3 * t[20:40] + 7
+    t[300:320] = 3 * t[20:40] + 7
+    t[310] = np.nextafter(t[310], np.inf)
+    s = from_array(spark, t)
+    q = M.queries_from_windows(s, {"a": 20}, 20)
+    d = {r["j"]: r["d"] for r in X.certified(M.distance_profile(q, s, 20), q, s, 20).collect()}
+    assert d[20] == d[200] == 0.0 and 0 < d[300] < 1e-6
+    plain_d = {r["j"]: r["d"] for r in M.distance_profile(q, s, 20).collect()}
+    assert all(d[j] == plain_d[j] for j in d if plain_d[j] >= 1e-6)
+    cut = X.select(M.distance_profile(q, s, 20), 20, max_distance=lambda p: p.groupBy("query_id", "series_id").agg(F.lit(1e-3).alias("cutoff")))
+    assert [r["j"] for r in cut.orderBy("j").collect()] == [20, 200, 300]
+
+
+@pytest.mark.parametrize("walk_limit", [10, 10**6])
+@pytest.mark.parametrize(("most", "first"), [(None, None), (5, None), (None, 33), (4, 33)])
+def test_selection_by_either_way(spark, monkeypatch, walk_limit, most, first):
+    monkeypatch.setattr(X, "WALK", walk_limit)
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 40, 300) / 8
+    rows = spark.createDataFrame([("q", "s", j, float(x)) for j, x in enumerate(d)], "query_id string, series_id string, j long, d double")
+    got = X.select(rows, 12, max_distance=4.0, max_matches=most, query_idx=first).orderBy("rank").collect()
+    ok = np.flatnonzero(d <= 4.0 + 1e-8)
+    want = X.greedy(d[ok], ok, 3, np.inf if most is None else most, first)
+    assert [r["j"] for r in got] == ok[want].tolist()

@@ -70,7 +70,7 @@ def brute_days(divide, k, m=14, excl=4):
     return len(v), out
 
 
-@pytest.mark.parametrize("name, divide, k", [("mp_days_raw_k1", 1, 1), ("mp_days_raw_topk", 1, 3), ("mp_days_raw_exact_ties", 8, 4)])
+@pytest.mark.parametrize("name, divide, k", [("mp_self_raw_k1", 1, 1), ("mp_self_raw_topk", 1, 3), ("mp_raw_exact_ties", 8, 4)])
 def test_all_days_match_brute_force(spark, sql, name, divide, k):
     n, want = brute_days(divide, k)
     assert n > 600
@@ -80,5 +80,5 @@ def test_all_days_match_brute_force(spark, sql, name, divide, k):
 
 def test_sides_of_all_days_match_brute_force(spark, sql):
     _, want = brute_days(1, 1)
-    got = {r["i"]: (r["left_j"], r["right_j"]) for r in TABLE["mp_days_raw_left_right"][0](spark, DATA).collect()}
+    got = {r["i"]: (r["left_j"], r["right_j"]) for r in TABLE["mp_raw_left_right"][0](spark, DATA).collect()}
     assert got == {i: x[1:] for i, x in enumerate(want)}
