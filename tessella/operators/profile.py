@@ -1,10 +1,10 @@
 """Matrix profile, block tier.
 
-Each series is dealt to blocks of windows (a block's samples are one row), the
-admissible pairs of blocks are listed as numbers, and each pair is joined with
-its two rows by (series, block).  So a series of any length spreads over all
-tasks, and a self-join visits each pair of blocks once,
-for both directions.  A task merges what it finds for a block before it emits
+Each series is dealt to blocks of windows (a block's samples are one row).  The
+admissible pairs of blocks are listed as numbers and joined with broadcast rows
+while these are few; beyond that, block rows move to pairs of strips of blocks,
+once for each strip they meet.  So a series of any length spreads over all
+tasks, and a self-join visits each pair of blocks once, for both directions.  A task merges what it finds for a block before it emits
 it; one shuffle by (series, block) merges tasks.
 """
 
@@ -26,6 +26,8 @@ from tessella.sources.series import as_value, check_schema
 HELD_BLOCKS = 48
 #: Samples of block rows up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Blocks in a strip at most: a tile of two strips holds twice as many block rows and their best lists.
+MAX_STRIP = 128
 _PART = "series_id string, b long, side string, n int, d2 array<double>, j array<long>"
 PROFILE = "series_id string, i long, rank int, p double, j long"
 
@@ -94,92 +96,154 @@ def _grid(a: DataFrame, b: DataFrame | None, first: DataFrame | None = None) ->
     return g.select("series_id", "qb", F.explode(F.sequence(one, F.col("nb"))).alias("tb"))
 
 
-def _cells(series: DataFrame, other: DataFrame | None, m: int, block: int, flags: tuple, first: DataFrame | None) -> DataFrame:
-    """The grid with the samples of both blocks of each pair.
+def _cells(rows: list[DataFrame], counts: list[DataFrame], first: DataFrame | None, tasks: int) -> DataFrame:
+    """The grid with the samples of both blocks of each pair, for few samples: block rows are broadcast.
 
     Pairs are dealt in strips of one query block, whose lists a task merges.
-    Block rows are broadcast if all their samples are few (one count decides);
-    otherwise pairs and rows meet by (series, block), and only then move.
     """
-    spark = series.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sides = [series] if other is None else [series, other]
-    rows = [block_rows(s, m, block, f) for s, f in zip(sides, flags)]
-    samples = sum(s.count() for s in sides)
-    few = samples * 8 * (1 + m / block) <= BROADCAST_BYTES
     strip = F.call_function("div", F.col("tb"), F.lit(8).cast("long"))
-    counts = [block_counts(s, m, block) for s in sides]
-    cells = _grid(counts[0], counts[1] if other is not None else None, first)
+    cells = _grid(counts[0], counts[1] if len(counts) > 1 else None, first)
     cells = cells.repartition(tasks, F.xxhash64("series_id", "qb", strip)).sortWithinPartitions("series_id", "qb", "tb")
     for which, r in (("t", rows[-1]), ("q", rows[0])):
         named = r.select("series_id", F.col("b").alias(f"{which}b"), F.col("samples").alias(f"{which}s"), F.col("flags").alias(f"{which}f"))
-        cells = cells.join(F.broadcast(named) if few else named, ["series_id", f"{which}b"])
-    return cells
+        cells = cells.join(F.broadcast(named), ["series_id", f"{which}b"])
+    return cells.select("series_id", "qb", "tb", "qs", "qf", "ts", "tf")
+
+
+def strip_blocks(blocks: int, tasks: int) -> int:
+    """Blocks in a strip: as many as leave about two tiles (strip x strip) a task, ``MAX_STRIP`` at most."""
+    return max(1, min(MAX_STRIP, int(blocks / max(1.0, (4 * tasks) ** 0.5))))
+
+
+def _tiles(rows: list[DataFrame], counts: list[DataFrame], first: DataFrame | None, size: int) -> DataFrame:
+    """The block rows of every pair of strips of ``size`` blocks: series_id, qt, tt, lo, side, b, samples, flags.
+
+    A block row moves once for each strip it meets, not for each block.
+    """
+    self_join, each = len(rows) == 1, F.lit(size).cast("long")
+
+    def strips(c: DataFrame) -> DataFrame:
+        return c.select("series_id", F.call_function("div", F.col("last"), each).alias("last"))
+
+    lows = None if first is None else first.select("series_id", F.call_function("div", F.col("first_block"), each).alias("first_block"))
+    tiles = _grid(strips(counts[0]), None if self_join else strips(counts[1]), lows)
+    tiles = tiles.select("series_id", F.col("qb").alias("qt"), F.col("tb").alias("tt"))
+    low = F.lit(0).cast("long")
+    tiles = tiles.withColumn("lo", low) if first is None else tiles.join(first.select("series_id", F.col("first_block").alias("lo")), "series_id", "left")
+    tiles = tiles.withColumn("lo", F.coalesce("lo", low))
+
+    def side(r: DataFrame, name: str, key: str) -> DataFrame:
+        r = r.withColumn(key, F.call_function("div", F.col("b"), each)).join(tiles, ["series_id", key])
+        return r.select("series_id", "qt", "tt", "lo", F.lit(name).alias("side"), "b", "samples", "flags")
+
+    t = side(rows[-1], "t", "tt")
+    return side(rows[0], "q", "qt").unionByName(t.where("qt != tt") if self_join else t)
+
+
+class _Work:
+    """What a task holds: a few blocks of windows, and the best lists of the blocks it has seen."""
+
+    def __init__(self, m: int, block: int, k: int, excl: int, normalize: bool, self_join: bool):
+        self.m, self.block, self.k, self.normalize, self.self_join = m, block, k, normalize, self_join
+        self.excl = excl if self_join else None
+        self.held: dict[tuple[str, str, int, str], B.Best] = {}
+        self.made: dict[tuple[str, str, int], B.Block] = {}
+
+    def windows(self, which: str, sid: str, number: int, samples, flags) -> B.Block:
+        key = (which, sid, number)
+        if key not in self.made:
+            if len(self.made) >= 8:
+                del self.made[next(iter(self.made))]
+            values = np.asarray(samples.values.to_numpy(zero_copy_only=False), np.float64)
+            constant = None if not flags.is_valid else np.array([bool(x) for x in flags.as_py()])
+            self.made[key] = B.block(values, number * self.block, self.m, self.normalize, constant)
+        return self.made[key]
+
+    def best(self, sid: str, x: B.Block, number: int, side: str) -> B.Best:
+        key = (sid, "q", number, side)
+        got = self.held.pop(key, None) or B.Best(x.first, x.n, 1 if side != "all" else self.k, self.self_join)
+        self.held[key] = got  # the latest used last
+        return got
+
+    def pair(self, sid: str, qb: int, tb: int, q: tuple, t: tuple) -> None:
+        """Joins two blocks, given as (samples, flags)."""
+        x = self.windows("q", sid, qb, *q)
+        same = self.self_join and qb == tb
+        y = x if same else self.windows("q" if self.self_join else "t", sid, tb, *t)
+        mirror = self.self_join and not same
+        into = []
+        for side in ("left", "right", *(("all",) if self.k > 1 else ())) if self.self_join else ("all",):
+            if not (side == "left" and qb != tb):
+                into.append((side, 0, self.best(sid, x, qb, side)))
+            if mirror and side != "right":
+                into.append((side, 1, self.best(sid, y, tb, side)))
+        B.join(x, y, self.k, self.excl, into, mirror)
+
+    def drained(self, keep: int = 0) -> pa.RecordBatch:
+        """The lists used longest ago, all but ``keep``, which are then forgotten."""
+        gone = list(self.held)[: max(0, len(self.held) - keep)]
+        lists = [self.held.pop(g) for g in gone]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([g[0] for g in gone], pa.string()), pa.array([g[2] for g in gone], pa.int64()),
+                pa.array([g[3] for g in gone], pa.string()), pa.array([x.n for x in lists], pa.int32()),
+                pa.array([x.d2.reshape(-1) for x in lists], pa.list_(pa.float64())),
+                pa.array([x.j.reshape(-1) for x in lists], pa.list_(pa.int64())),
+            ],
+            names=["series_id", "b", "side", "n", "d2", "j"],
+        )
 
 
 def _partials(
     series: DataFrame, other: DataFrame | None, m: int, block: int, k: int, excl: int, normalize: bool,
     flags: tuple = (None, None), first: DataFrame | None = None,
 ) -> DataFrame:
-    """Best lists of each block from each task."""
+    """Best lists of each block from each task.
+
+    One count of the samples decides whether block rows are few enough to be
+    broadcast to pairs of blocks; otherwise they move to pairs of strips.
+    """
+    spark = series.sparkSession
     self_join = other is None
-    cells = _cells(series, other, m, block, flags, first)
-    names = ["series_id", "qb", "tb", "qs", "qf", "ts", "tf"]
-    one_sided = self_join
+    sides = [series] if self_join else [series, other]
+    rows = [block_rows(s, m, block, f) for s, f in zip(sides, flags)]
+    counts = [block_counts(s, m, block) for s in sides]
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    samples = sum(s.count() for s in sides)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, int, str], B.Best] = {}
-        made: dict[tuple[str, str, int], B.Block] = {}
-
-        def drain(keep: int) -> Iterator[pa.RecordBatch]:
-            gone = list(held)[: max(0, len(held) - keep)]
-            if gone:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([g[0] for g in gone], pa.string()), pa.array([g[2] for g in gone], pa.int64()),
-                        pa.array([g[3] for g in gone], pa.string()), pa.array([held[g].n for g in gone], pa.int32()),
-                        pa.array([held[g].d2.reshape(-1) for g in gone], pa.list_(pa.float64())),
-                        pa.array([held[g].j.reshape(-1) for g in gone], pa.list_(pa.int64())),
-                    ],
-                    names=["series_id", "b", "side", "n", "d2", "j"],
-                )
-                for g in gone:
-                    del held[g]
-
-        def window_block(which: str, sid: str, number: int, samples, flags) -> B.Block:
-            key = (which, sid, number)
-            if key not in made:
-                if len(made) >= 8:
-                    del made[next(iter(made))]
-                values = np.asarray(samples.values.to_numpy(zero_copy_only=False), np.float64)
-                constant = None if not flags.is_valid else np.array([bool(x) for x in flags.as_py()])
-                made[key] = B.block(values, number * block, m, normalize, constant)
-            return made[key]
-
-        def best(which: str, sid: str, x: B.Block, number: int, side: str) -> B.Best:
-            key = (sid, which, number, side)
-            got = held.pop(key, None) or B.Best(x.first, x.n, 1 if side != "all" else k, self_join)
-            held[key] = got  # the latest used last
-            return got
+    def work() -> _Work:
+        return _Work(m, block, k, excl, normalize, self_join)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = work()
         for batch in batches:
             for row in range(batch.num_rows):
                 sid, qb, tb = (batch.column(c)[row].as_py() for c in range(3))
-                x = window_block("q", sid, qb, batch.column(3)[row], batch.column(4)[row])
-                y = x if self_join and qb == tb else window_block("q" if self_join else "t", sid, tb, batch.column(5)[row], batch.column(6)[row])
-                mirror = self_join and qb != tb
-                into = []
-                for side in ("left", "right", *(("all",) if k > 1 else ())) if one_sided else ("all",):
-                    if not (side == "left" and qb != tb):
-                        into.append((side, 0, best("q", sid, x, qb, side)))
-                    if mirror and side != "right":
-                        into.append((side, 1, best("q", sid, y, tb, side)))
-                B.join(x, y, k, excl if self_join else None, into, mirror)
-                if len(held) > HELD_BLOCKS * 3:
-                    yield from drain(HELD_BLOCKS)
-        yield from drain(0)
-
-    return cells.select(*names).mapInArrow(run, _PART)
+                q, t = ((batch.column(c)[row], batch.column(c + 1)[row]) for c in (3, 5))
+                w.pair(sid, qb, tb, q, t)
+                if len(w.held) > HELD_BLOCKS * 3:
+                    yield w.drained(HELD_BLOCKS)
+        if w.held:
+            yield w.drained()
+
+    def tile(table: pa.Table) -> pa.Table:
+        w = work()
+        sid, qt, tt, lo = (table[c][0].as_py() for c in ("series_id", "qt", "tt", "lo"))
+        found: dict[str, dict[int, tuple]] = {"q": {}, "t": {}}
+        for side, b, x, f in zip(table["side"].to_pylist(), table["b"].to_pylist(), table["samples"], table["flags"]):
+            found[side][b] = (x, f)
+        targets = found["q"] if self_join and qt == tt else found["t"]
+        for qb in sorted(found["q"]):
+            for tb in sorted(targets, reverse=qb % 2 == 1):  # back and forth, so that blocks made are met again
+                if not self_join or tb >= max(qb, lo):
+                    w.pair(sid, qb, tb, found["q"][qb], targets[tb])
+        return pa.Table.from_batches([w.drained()])
+
+    if samples * 8 * (1 + m / block) <= BROADCAST_BYTES:
+        return _cells(rows, counts, first, tasks).mapInArrow(run, _PART)
+    longest = max(c.agg(F.max("last")).first()[0] or 0 for c in counts) + 1
+    tiles = _tiles(rows, counts, first, strip_blocks(longest, tasks))
+    return tiles.groupBy("series_id", "qt", "tt").applyInArrow(tile, _PART)
 
 
 def _merged(parts: DataFrame, block: int, k: int, self_join: bool, normalize: bool) -> DataFrame:

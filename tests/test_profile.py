@@ -4,6 +4,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella import api
 from tessella.operators import blocks as B_
@@ -246,3 +247,24 @@ def test_norms_near_the_ends_of_the_range():
     y[0, 0] = 1.6e308
     assert np.allclose(B_.norms(x, y), [1e307, 5e-324, 5.0, 1e200, 1e-200, 0.0], rtol=1e-2, atol=0)
     assert B_.norms(np.array([[1.7e308]]), np.array([[-1.7e308]]))[0] == np.inf
+
+
+@pytest.mark.parametrize(("strip", "k", "normalize"), [(1, 1, True), (3, 2, False), (128, 3, True)])
+def test_tiles_of_strips_equal_the_broadcast_join(spark, monkeypatch, strip, k, normalize):
+    """Without a broadcast, for series of different lengths, as self-join and AB-join."""
+    parts = [from_array(spark, special(n), sid) for sid, n in (("a", 220), ("b", 130), ("c", 30))]
+    s, t = parts[0].unionByName(parts[1]).unionByName(parts[2]), parts[1].unionByName(parts[0].where("i < 90"))
+
+    def both():
+        a = B.wide(s, 12, k=k, normalize=normalize, block=20).orderBy("series_id", "i").collect()
+        return a, B.wide(s, 12, t.withColumn("series_id", F.col("series_id")), normalize, k, block=20).orderBy("series_id", "i").collect()
+
+    want = both()
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(B, "strip_blocks", lambda *_: strip)
+    assert both() == want
+    assert len(want[0]) == 209 + 119 + 19 and len(want[1]) == 209 + 119
+
+
+def test_strips():
+    assert B.strip_blocks(10, 32) == 1 and B.strip_blocks(100, 32) == 8 and B.strip_blocks(10**6, 32) == B.MAX_STRIP

@@ -13,8 +13,10 @@ def frame(p):
     return np.stack(got["p"]), np.stack(got["j"]), got["left_j"].to_numpy(), got["right_j"].to_numpy()
 
 
-@pytest.mark.parametrize("k", [1, 3])
-def test_updates_equal_one_join(spark, tmp_path, monkeypatch, k):
+@pytest.mark.parametrize(("k", "limit"), [(1, 1 << 20), (3, 0)])
+def test_updates_equal_one_join(spark, tmp_path, monkeypatch, k, limit):
+    monkeypatch.setattr(B, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(B, "strip_blocks", lambda *_: 2)
     monkeypatch.setattr(planner, "MAX_BLOCK", 32)
     monkeypatch.setattr(planner, "MIN_BLOCK", 32)
     t = walk(170, 1)
