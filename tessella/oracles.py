@@ -92,6 +92,17 @@ def profile(series: str, m: int, k: int = 1, normalize: bool = True, denom: floa
     return f"WITH {series}, {windows(m, constant=constant)}, {pairs(m, normalize, denom)}\n{best(k)}"
 
 
+def long_profile(series: str, m: int) -> str:
+    """First neighbours in a series of many windows: fixed-size arrays, and one aggregate over the pairs."""
+    d = "array_distance(a.z, b.z)"
+    key = "2 * abs(b.i - a.i) + (b.i > a.i)::INT"
+    return f"""WITH {series}, {windows(m)}, x AS (SELECT i, z::DOUBLE[{m}] AS z FROM w WHERE f),
+n AS (SELECT i, min((d, key, j)) AS best FROM (
+  SELECT a.i, b.i AS j, CASE WHEN {d} < 1e-7 THEN 0.0 ELSE {d} END AS d, {key} AS key FROM x a JOIN x b ON abs(a.i - b.i) > {math.ceil(m / 4)})
+  GROUP BY i)
+SELECT w.series_id, w.i::BIGINT AS i, coalesce(round(best[1], 6), 'inf'::DOUBLE) AS p, coalesce(best[3], -1)::BIGINT AS j FROM w LEFT JOIN n USING (i)"""
+
+
 def sides(series: str, m: int, normalize: bool = True) -> str:
     return f"WITH {series}, {windows(m)}, {pairs(m, normalize)}\n{both_sides()}"
 

@@ -367,7 +367,7 @@ TABLE: dict[str, tuple[Query, str | None]] = {
     "mp_small_blocks": (_self(hourly, HOUR, k=2, block=96), O.profile(_h, HOUR, 2)),
     "mp_sql_tier": (lambda spark, sf: _long(S.profile(hourly(spark, sf), HOUR)), O.profile(_h, HOUR)),
     "mp_sql_tier_sides": (lambda spark, sf: S.sides(hourly(spark, sf), HOUR), O.sides(_h, HOUR)),
-    "mp_long_series": (_values_profile, None),
+    "mp_long_series": (_values_profile, O.long_profile(_VALUES, 50)),
     # distance profiles and matches
     "mass_norm": (_mass(400, True), f"WITH {O.query_profile(_h, HOUR, 400, True)} SELECT '0' AS query_id, series_id, j::BIGINT AS j, round(d, 6) AS d FROM d"),
     "mass_raw": (_mass(400, False), f"WITH {O.query_profile(_h, HOUR, 400, False)} SELECT '0' AS query_id, series_id, j::BIGINT AS j, round(d, 6) AS d FROM d"),
