@@ -53,6 +53,49 @@ def test_held_out_accuracy_with_and_without_disguise(tables):
     assert len(hid) >= 5 and np.mean([rows[i]["predicted"] for i in hid]) > 0.8
 
 
+def test_query_equals_plain_loops(tables):
+    """The whole fit again: 4-grams, lexicon and calibration counted in plain Python."""
+    docs, labels, _, _ = tables
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    counts = np.zeros((X.ALPHABET,) * 4, np.int64)
+    for t in texts.values():
+        c = [0, 0, 0, *map(X.fold, t), 0]
+        for k in range(len(c) - 3):
+            counts[tuple(c[k : k + 4])] += 1
+    # between two texts of a batch there are three spaces, at its end there is one
+    got = X.char_counts(docs.coalesce(1)).reshape(counts.shape)
+    inner = np.ones_like(counts, bool)
+    inner[:, 0, 0, 0] = inner[0, 0, 0, :] = inner[:, :, 0, 0] = inner[0, 0] = False
+    assert np.array_equal(got[inner], counts[inner])
+    decoder = X.Decoder(X.CharModel(X.char_counts(docs)))
+    words = {d: X.restored_words(t, decoder) for d, t in texts.items()}
+    learn = [d for d in marks if zlib.crc32(str(d).encode()) % 4 != 2]
+    n = [sum(marks[d] == k for d in learn) for k in (0, 1)]
+    seen = {}
+    for d in learn:
+        for f in {f for w in words[d] for f in (w + "$", *(w[:p] for p in X.PREFIXES if len(w) >= p))}:
+            seen.setdefault(f, [0, 0])[marks[d]] += 1
+    weights = {}
+    for f, (c, t) in seen.items():
+        if t >= X.MIN_DOCS:
+            odds = math.log((t - math.sqrt(t) + 0.5) / (n[1] + 1)) - math.log((c + math.sqrt(c) + 0.5) / (n[0] + 1))
+            if odds >= X.MIN_LOG_ODDS:
+                weights[f] = odds
+
+    def point(d):
+        hit = [max(weights.get(f, 0.0) for f in (w + "$", *(w[:p] for p in X.PREFIXES))) for w in words[d]]
+        return math.log1p(math.fsum(hit)), max(hit, default=0.0)
+
+    points = {d: point(d) for d in texts}
+    order = sorted(learn, key=lambda d: (marks[d], points[d]))
+    a, b, c = X._logistic(np.array([points[d] for d in order]), np.array([float(marks[d]) for d in order]))
+    for r in X.score(docs, labels).collect():
+        x, y = points[r["doc_id"]]
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
+        assert math.isclose(r["score"], want, abs_tol=1e-6), r["doc_id"]
+
+
 @pytest.fixture(scope="module")
 def decoder():
     folder, counts, a = X.Folder(), np.zeros(X.ALPHABET**4, np.int64), X.ALPHABET
