@@ -19,7 +19,7 @@ from tessella.functions.distance import SNAP
 from tessella.plans.planner import tile_rows
 
 EPS, EPS32 = float(np.finfo(np.float64).eps), float(np.finfo(np.float32).eps)
-BIG = 1e18
+BIG, TINY = 1e18, 1e-280
 EXACT_ROWS = 4096
 NONE = -1
 
@@ -144,13 +144,13 @@ def distances(measure: np.ndarray, normalize: bool) -> np.ndarray:
     return np.sqrt(measure) if normalize else measure
 
 
-def _sides(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray, float]:
-    """Matrices whose product is the score, and its rounding bound.
+def _sides(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Matrices whose product is the score, its rounding bound, and its unit.
 
     m - d2/2 when normalised; when raw -d2/2 in units of the power of two near
     the largest deviation from a common middle, so that no product overflows.
     """
-    m = a.m
+    m, unit = a.m, 1.0
 
     def penal(x: Block) -> np.ndarray:
         return np.where(x.finite, 0.0, -BIG)
@@ -176,7 +176,17 @@ def _sides(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray, float]:
     kind = va.dtype
     one_a, one_b = np.ones((a.n, 1), kind), np.ones((b.n, 1), kind)
     left, right = np.hstack([va, ea[:, None].astype(kind), one_a]), np.hstack([vb, one_b, eb[:, None].astype(kind)])
-    return left, right.T.copy(), bound
+    return left, right.T.copy(), bound, unit
+
+
+def _scored(measure: np.ndarray, a: Block, unit: float) -> np.ndarray:
+    """The scores of measures that were evaluated exactly."""
+    if a.normalize:
+        return a.m - measure / 2
+    if unit < TINY:  # halves of the samples need not be doubles
+        return np.full(len(measure), -np.inf)
+    with np.errstate(over="ignore"):
+        return -((measure / unit / 2) ** 2) / 2
 
 
 def keys(i: np.ndarray, j: np.ndarray, self_join: bool) -> np.ndarray:
@@ -216,18 +226,32 @@ class Best:
         self.j[row[keep], place[keep]] = j[keep]
 
 
-def _winners(score: np.ndarray, k: int, bound: float, axis: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries within the rounding bound of the k-th best score of their row (axis 1) or column (axis 0)."""
-    n = score.shape[axis]
-    if k == 1 or n == 0:
-        best = score.max(axis=axis, initial=-np.inf)
-    elif k >= n:
-        best = np.full(score.shape[1 - axis], -np.inf)
-    else:
-        best = np.partition(score, n - k, axis=axis).take(n - k, axis=axis)
-    floor = np.maximum(best - 2 * bound, -BIG / 2)
-    hit = np.flatnonzero(score >= (floor[:, None] if axis == 1 else floor[None, :]))
-    return np.divmod(hit, score.shape[1])
+def _winners(score: np.ndarray, k: int, bound: float, axis: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries within the rounding bound of the k-th best score of their row (axis 1) or column (axis 0).
+
+    ``held`` is the score of the k-th best a list has already; what is surely
+    worse is no winner, so most rows end after their maximum.
+    """
+    floor = np.maximum(held - 2 * bound, -BIG / 2).astype(score.dtype)
+    top, n = score.max(axis=axis, initial=-np.inf), score.shape[axis]
+    alive = np.flatnonzero(top >= floor)
+    if not len(alive):
+        return alive, alive
+    part = score
+    if len(alive) < len(floor):
+        part, floor, top = score.take(alive, axis=1 - axis), floor[alive], top[alive]
+    if k < n:
+        best = top if k == 1 else np.partition(part, n - k, axis=axis).take(n - k, axis=axis)
+        floor = np.maximum(floor, best - 2 * bound)
+    hit = np.flatnonzero(part >= (floor[:, None] if axis == 1 else floor[None, :]))
+    r, c = np.divmod(hit, part.shape[1])
+    return (alive[r], c) if axis == 1 else (r, alive[c])
+
+
+def _blank(score: np.ndarray, low: int, high: int) -> None:
+    """Rules out the columns from low + r up to high + r of each row r."""
+    for r in range(len(score)):
+        score[r, max(low + r, 0) : max(high + r, 0)] = -np.inf
 
 
 def join(a: Block, b: Block, k: int, excl: int | None, into: list[tuple[str, int, Best]], mirror: bool) -> None:
@@ -237,16 +261,14 @@ def join(a: Block, b: Block, k: int, excl: int | None, into: list[tuple[str, int
     and 1 for one of ``b``'s; side is `all`, `left` or `right`.  ``excl`` is
     None in an AB-join.  With ``mirror`` each pair counts for both blocks.
     """
-    left, right, bound = _sides(a, b)
+    left, right, bound, unit = _sides(a, b)
     step = tile_rows(b.n)
-    cols = np.arange(b.first, b.first + b.n)
+    tile = np.empty((min(step, a.n), b.n), right.dtype)
     for at in range(0, a.n, step):
-        score = left[at : at + step] @ right
-        rows = np.arange(a.first + at, a.first + at + len(score))
-        gap = None
-        if excl is not None and rows[0] - excl <= cols[-1] and cols[0] <= rows[-1] + excl:
-            gap = cols[None, :] - rows[:, None]
-            score[np.abs(gap) <= excl] = -np.inf
+        score = np.matmul(left[at : at + step], right, out=tile[: a.n - at])
+        same = a.first + at - b.first  # the column of the first row's own window
+        if excl is not None and same - excl < b.n and same + len(score) + excl > 0:
+            _blank(score, same - excl, same + excl + 1)
         for side, which, best in into:
             if which == 1 and not mirror:
                 continue
@@ -254,13 +276,14 @@ def join(a: Block, b: Block, k: int, excl: int | None, into: list[tuple[str, int
             if side != "all":
                 # from the list's own window to its neighbour: left is before it
                 before = (side == "left") == (which == 0)
-                lo, hi = cols[0] - rows[-1], cols[-1] - rows[0]
-                if (before and lo > 0) or (not before and hi < 0):
+                some_before, some_after = same + len(score) > 1, same < b.n - 1
+                if not (some_before if before else some_after):
                     continue
-                if not (before and hi < 0) and not (not before and lo > 0):
-                    g = cols[None, :] - rows[:, None] if gap is None else gap
-                    part = np.where(g < 0 if before else g > 0, score, -np.inf)
-            r, c = _winners(part, best.k, bound, 1 - which)
+                if (same < b.n) if before else (same + len(score) > 0):
+                    part = score.copy()
+                    _blank(part, same if before else -len(part), b.n if before else same + 1)
+            kth = best.d2[:, -1] if which else best.d2[at : at + step, -1]
+            r, c = _winners(part, best.k, bound, 1 - which, _scored(kth, a, unit))
             if len(r):
                 d2 = exact(a, b, r + at, c)
                 if which == 0:

@@ -24,6 +24,8 @@ from tessella.plans.planner import block_windows, exclusion_zone, positive_int
 from tessella.sources.series import as_value, check_schema
 
 HELD_BLOCKS = 48
+#: Blocks on a side of the squares in which pairs are dealt; a task keeps twice as many blocks made.
+SQUARE = 4
 #: Samples of block rows up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Blocks in a strip at most: a tile of two strips holds twice as many block rows and their best lists.
@@ -99,11 +101,12 @@ def _grid(a: DataFrame, b: DataFrame | None, first: DataFrame | None = None) ->
 def _cells(rows: list[DataFrame], counts: list[DataFrame], first: DataFrame | None, tasks: int) -> DataFrame:
     """The grid with the samples of both blocks of each pair, for few samples: block rows are broadcast.
 
-    Pairs are dealt in strips of one query block, whose lists a task merges.
+    Pairs are dealt in squares of ``SQUARE`` blocks a side, whose blocks and
+    lists a task meets again.
     """
-    strip = F.call_function("div", F.col("tb"), F.lit(8).cast("long"))
+    square = [F.call_function("div", F.col(c), F.lit(SQUARE).cast("long")) for c in ("qb", "tb")]
     cells = _grid(counts[0], counts[1] if len(counts) > 1 else None, first)
-    cells = cells.repartition(tasks, F.xxhash64("series_id", "qb", strip)).sortWithinPartitions("series_id", "qb", "tb")
+    cells = cells.repartition(tasks, F.xxhash64("series_id", *square)).sortWithinPartitions("series_id", *square, "qb", "tb")
     for which, r in (("t", rows[-1]), ("q", rows[0])):
         named = r.select("series_id", F.col("b").alias(f"{which}b"), F.col("samples").alias(f"{which}s"), F.col("flags").alias(f"{which}f"))
         cells = cells.join(F.broadcast(named), ["series_id", f"{which}b"])
@@ -152,7 +155,7 @@ class _Work:
     def windows(self, which: str, sid: str, number: int, samples, flags) -> B.Block:
         key = (which, sid, number)
         if key not in self.made:
-            if len(self.made) >= 8:
+            if len(self.made) >= 2 * SQUARE:
                 del self.made[next(iter(self.made))]
             values = np.asarray(samples.values.to_numpy(zero_copy_only=False), np.float64)
             constant = None if not flags.is_valid else np.array([bool(x) for x in flags.as_py()])
